@@ -95,3 +95,57 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; None stays None."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
+
+
+def with_group(rows: DataFrame, keys: list[str], first: list, final: list, by: str, salts: int = 16) -> DataFrame:
+    """rows with figures of their group, without a task that gets a whole hot group.
+
+    first aggregates each (keys, salt), final aggregates those parts, and the result goes back only to the salts that occur.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    part = salted.groupBy(*keys, "__salt").agg(*first)
+    whole = part.groupBy(*keys).agg(*final, F.collect_set("__salt").alias("__salts"))
+    back = whole.withColumn("__salt", F.explode("__salts")).drop("__salts")
+    return salted.join(back, [*keys, "__salt"]).drop("__salt")
+
+
+def components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(node, comp) for each node of edges (a, b): comp is the smallest node reachable. edges must be staged.
+
+    Up to limit edges the driver joins them up; beyond it, stars are contracted in turns (large stars, small stars) until no edge changes.
+    """
+    spark = edges.sparkSession
+    if small_enough(edges, limit):
+        pairs = edges.select("a", "b").toPandas()
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for x, y in zip(pairs.a.tolist(), pairs.b.tolist()):
+            x, y = sorted((root(x), root(y)))
+            parent[y] = x
+        found = [(x, root(x)) for x in parent]
+        at = new_path(spark, "components")
+        import pandas as pd
+
+        spark.createDataFrame(pd.DataFrame({"node": [x for x, _ in found], "comp": [y for _, y in found]}, dtype="int64"), "node bigint, comp bigint").write.parquet(at)
+        return spark.read.schema("node bigint, comp bigint").parquet(at)
+    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    nodes = staged(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = staged(large, "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = large.join(low, "u")
+        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pairs.select("u", F.col("m").alias("v"))).where("u <> v")
+        new = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        if not new.exceptAll(now).limit(1).count() and not now.exceptAll(new).limit(1).count():
+            break
+        now = new
+    return staged(nodes.join(now.groupBy("u").agg(F.min("v").alias("comp")), nodes.node == F.col("u"), "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
