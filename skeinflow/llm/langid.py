@@ -180,7 +180,7 @@ def predict(model: Model | None, mark: int):
         for b in slices(batches):
             pred, score, share, out = [], [], [], []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
-                if not words or not text or not _HAS_LETTER(text):
+                if words is None or not text or not _HAS_LETTER(text):
                     pred.append("und")
                     score.append(0.0)
                     share.append(0.0)
