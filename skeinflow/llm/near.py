@@ -4,17 +4,17 @@ A document's words are its runs of characters outside [\\x20\\x09-\\x0D], A-Z lo
 (with one word, that word; without words or with a null text, empty and linked with nothing). Documents are linked when
 100 * intersection >= 75 * union, and components of linked documents are reported.
 
-1. Each whole text becomes 64-bit shingle hashes and a signature of 64 MinHash coordinates. Equal sets form one class, by a
+1. Each whole text becomes 64-bit shingle hashes and a signature of 128 MinHash coordinates. Equal sets form one class, by a
    128-bit fingerprint of the set; from here on only classes are compared.
-2. Classes are posted under each (coordinate, value). A pair at 0.75 collides on 48 of 64 coordinates on average, and on
-   fewer than MATCHES = 30 of them once in 10 million times. So only values that occur again count; a class with fewer than
-   30 of those is done (skipped); the others are posted under their rarest values only, as a pair with 30 common values
-   must share one among the first (size - 30 + 1) in order of rarity (prefix). A value shared by very many is never in a prefix
-   unless nearly all of a class's values are.
+2. Classes are posted under each (coordinate, value). A pair at 0.75 collides on 96 of 128 coordinates on average, and on
+   fewer than MATCHES = 70 of them less than once in 10 million times. So only values that occur again count; a class with fewer
+   than 70 of those is done (skipped), which in turn leaves values that occur no more, so that is repeated. The others are
+   posted under their rarest values only, as a pair with 70 common values must share one among the first (size - 70 + 1) in order
+   of rarity (prefix). A value shared by very many is in no prefix unless nearly all of a class's values are such.
 3. Lists are merged in rounds: in each list, every class is compared with one leader, and what is linked becomes one component.
    A list whose members are all in one component needs no further pair: a group of thousands of near copies costs about as
    many comparisons as it has members. The last round compares all pairs of different components that still share a list
-   and collide on 30 coordinates, so no link between components is missed; pairs within a component are never expanded.
+   and collide on 70 coordinates, so no link between components is missed; pairs within a component are never expanded.
 
 Every comparison is of the full sets. Null and repeated doc_ids are allowed: rows with equal sets are one class, and a
 component's id is its smallest doc_id that isn't null. An empty table gives an empty result. Only doc_id and text are read.
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import components, keep_or_drop, mix, raw, slices, small_enough, staged, with_group, word_hashes
 
-COORDINATES = 64
-MATCHES = 30
+COORDINATES = 128
+MATCHES = 70
+PRUNINGS = 2
 PER_CENT = 75
 ROUNDS = 3
+#: Prefix lists in which a class must meet a leader to be compared in a round; the last round has no such condition.
+TOGETHER = 3
 _random = np.random.default_rng(7)
 _TIMES = _random.integers(0, 2**32, COORDINATES, np.uint32) | np.uint32(1)
 _PLUS = _random.integers(0, 2**32, COORDINATES, np.uint32)
@@ -75,25 +78,35 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig.append(signature(s) if len(s) else None)
         flat = pa.array(np.concatenate([np.empty(0, np.uint32), *(x for x in sig if x is not None)]).view(np.int32), pa.int32())
         ends = np.cumsum([0, *(0 if x is None else COORDINATES for x in sig)])
-        yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "text_hash", "n_shingles", "high", "low", "signature"])
+        yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "row_hash", "n_shingles", "high", "low", "signature"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         sets = [shingles(text) for text in raw(b.column(0))]
-        marks = [fingerprint(s) for s in sets]
         ends = np.cumsum([0, *map(len, sets)])
         flat = pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64), pa.int64())
-        yield pa.record_batch([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["high", "low", "shingles"])
+        yield pa.record_batch([b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "shingles"])
 
 
 def prefixes(signed: DataFrame) -> DataFrame:
     """(key, node): the prefix postings of classes that have enough values which occur again."""
     key = F.shiftleft(F.col("i").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint").bitwiseAND(F.lit(2**32 - 1)))
     posted = signed.select("node", F.posexplode("signature").alias("i", "v")).select("node", key.alias("key"))
-    again = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = posted.join(again, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= MATCHES)
-    return staged(lists.select("node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1))).alias("k")).select(F.col("k.key").alias("key"), "node"), "prefixes")
+    for k in range(1 + PRUNINGS):
+        again = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        lists = posted.join(again, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= MATCHES)
+        lists = staged(lists.select("node", F.transform("keys", lambda x: x["key"]).alias("keys")), f"lists{k}")
+        posted = lists.select("node", F.explode("keys").alias("key"))
+    return staged(lists.select("node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1))).alias("key")), "prefixes")
+
+
+def sets_of(docs: DataFrame, info: DataFrame) -> DataFrame:
+    """(node, shingles): the full sets of the classes of info, each from one row's text."""
+    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row_hash"))
+    which = info.select("row_hash", "node")
+    found = staged(texts.join(F.broadcast(which) if small_enough(which) else which, "row_hash").select("text", "node").mapInArrow(full_sets, "node bigint, shingles array<bigint>"), "sets")
+    return found if found.count() == which.count() else staged(found.dropDuplicates(["node"]), "sets")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -103,15 +116,27 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     own = salted.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return staged(own.join(lead, ["b", "salt"]).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both"))
-                  .where(F.lit(100) * F.col("both") >= F.lit(PER_CENT) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "linked")
+                  .where(F.lit(100) * F.col("both") >= F.lit(PER_CENT) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct(), "linked")
 
 
 def close_in_size(a: str, b: str):
     return F.lit(100) * F.least(a, b) >= F.lit(PER_CENT) * F.greatest(a, b)
 
 
-def merge(post: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links that join up the components, found in rounds. post: (key, node, size, signature-free)."""
+def collide(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose signatures agree on enough coordinates."""
+    same = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda z: z))
+    left, right = (info.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("a", "s1"), ("b", "s2")))
+    return pairs.join(left, "a").join(right, "b").where(same >= MATCHES).select("a", "b")
+
+
+def size_class(size: str):
+    """Sizes within a ratio of PER_CENT are in the same or in neighbouring classes."""
+    return F.floor(F.log(F.col(size)) / F.log(F.lit(100 / PER_CENT)) - 1e-9)
+
+
+def merge(post: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join up the components, found in rounds. post: (key, node, size)."""
     spark = post.sparkSession
     edges = spark.createDataFrame([], "a bigint, b bigint")
     now = post.withColumn("comp", F.col("node"))
@@ -123,16 +148,13 @@ def merge(post: DataFrame, sets: DataFrame) -> DataFrame:
             break
         if k < ROUNDS:
             to_leader = open_.where((F.col("comp") != F.col("m.comp")) & close_in_size("size", "m.size"))
-            counted = to_leader.groupBy("node", F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+            counted = to_leader.groupBy("node", F.col("m.node").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TOGETHER)
             pairs = counted.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b"))
         else:
-            other = open_.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
-            every = open_.select("key", F.col("node").alias("a"), "size", "comp").join(other, "key").where((F.col("comp") < F.col("comp_b")) & close_in_size("size", "size_b"))
-            pairs = every.select("a", "b").distinct()
-            sig = sets.select("node", "signature")
-            same = F.size(F.filter(F.arrays_zip("s1", "s2"), lambda z: z["s1"] == z["s2"]))
-            pairs = (pairs.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("s1")), "a")
-                     .join(sig.select(F.col("node").alias("b"), F.col("signature").alias("s2")), "b").where(same >= MATCHES).select("a", "b"))
+            classed = open_.select("key", "node", "size", "comp", size_class("size").alias("k"))
+            other = classed.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"), F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
+            every = classed.withColumnRenamed("node", "a").join(other, ["key", "k"]).where((F.col("comp") < F.col("comp_b")) & close_in_size("size", "size_b"))
+            pairs = collide(every.select("a", "b").distinct(), info)
         more = linked(staged(pairs, "pairs"), sets)
         edges = staged(edges.unionByName(more), "links")
         if k < ROUNDS:
@@ -144,20 +166,17 @@ def merge(post: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id), links (confirmed links of its class)."""
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, n_shingles bigint, high bigint, low bigint, signature array<int>"
-    signed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, shape)
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash bigint, n_shingles bigint, high bigint, low bigint, signature array<int>"
+    signed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_hash")).mapInArrow(sign, shape)
     signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     rows = signed.select("row", "doc_id", "n_shingles", "high", "low")
     classed = staged(with_group(rows.where("n_shingles > 0"), ["high", "low"], [F.min("row").alias("node"), F.min("doc_id").alias("least")], [F.min("node").alias("node"), F.min("least").alias("least")], by="row"), "classes")
     nodes = classed.where("row = node").select("node")
     post = prefixes(signed.select(F.col("row").alias("node"), "signature").join(nodes, "node"))
     near = staged(post.select("node").distinct(), "survivors")
-    info = staged(signed.drop("doc_id").withColumnRenamed("row", "node").join(near, "node", "left_semi"), "info")
-    hashes = staged(info.select("text_hash").distinct(), "texts")
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).dropna(subset=["text"])
-    sets = keep_or_drop(texts, hashes, "left_semi", "text_hash").select("text").mapInArrow(full_sets, "high bigint, low bigint, shingles array<bigint>")
-    sets = staged(sets.join(info.select("node", "high", "low", "signature"), ["high", "low"]).dropDuplicates(["node"]).drop("high", "low"), "sets")
-    edges = merge(staged(post.join(info.select("node", F.col("n_shingles").alias("size")), "node"), "posts"), sets)
+    info = staged(signed.select(F.col("row").alias("node"), "row_hash", "n_shingles", "signature").join(near, "node", "left_semi"), "info")
+    posts = staged(post.join(info.select("node", F.col("n_shingles").alias("size")), "node"), "posts")
+    edges = merge(posts, info, sets_of(docs, info))
     comp = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     member = comp.join(degree, "node", "left")
