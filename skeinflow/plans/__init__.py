@@ -1 +1,8 @@
-"""Skeinflow: conversational fact analytics on Spark."""
+"""Queries of the fact store, each with the same definition for Spark and for its oracle."""
+
+from . import projection, retrieve, store  # noqa: F401
+from .catalog import PLANS
+
+FLAGSHIP = "q_pack"
+
+__all__ = ["FLAGSHIP", "PLANS"]
