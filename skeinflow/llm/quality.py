@@ -5,8 +5,9 @@
   word is unknown). It writes blocks of about BLOCK_TOKENS tokens with the distinct pairs in each, and the training pairs' counts.
 * Pair counts are summed, and the discounts, continuation counts and context weights of modified Kneser-Ney come from them
   with aggregates; tables by one token id have at most 65,536 rows.
-* The distinct pairs of all blocks are joined with the counts, in shards by pair, which gives each pair's log-probability; each block
-  gets those of its own pairs back and adds them up by document. Neither texts nor the counts go to one place.
+* The distinct pairs of all blocks are joined with the counts, in shards by pair, which gives each pair's log-probability. They are
+  written out by input part, and the task that reads a block reads those of its own pairs too and adds them up by document. Neither
+  texts nor ids are shuffled, and the counts are never in one place.
 * A document is kept if its perplexity is no higher than what all but REJECT of the trusted calibration texts of its language have,
   times MARGIN. A language with fewer than LEAST calibration texts uses all languages' texts.
 
@@ -21,16 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_enough, staged
+from .common import new_path, slices, small_enough, staged
 from .tokens import default_path, tokenizer
 
 BLOCK_TOKENS = 8 << 20
 START = 65_535
+#: A block is its input part and a number below 2**PART_BITS.
+PART_BITS = 24
 REJECT = 0.01
 MARGIN = 1.1
 LEAST = 20
@@ -58,7 +63,7 @@ def blocks(path: str):
             flat = np.concatenate([np.empty(0, np.int64), *every])
             train, times = np.unique(np.concatenate([np.empty(0, np.int64), *(p for p, t in zip(every, columns[2]) if t == 1)]), return_counts=True)
             blob = pack.compress(np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes())
-            row = {"block": part << 24 | made, "doc_ids": columns[0], "langs": columns[1], "trust": columns[2], "lengths": lengths, "ids": blob, "pairs": np.unique(flat), "train": train, "times": times}
+            row = {"block": part << PART_BITS | made, "doc_ids": columns[0], "langs": columns[1], "trust": columns[2], "lengths": lengths, "ids": blob, "pairs": np.unique(flat), "train": train, "times": times}
             return row
 
         def batch(row: dict, id_type: pa.DataType) -> pa.RecordBatch:
@@ -82,28 +87,39 @@ def blocks(path: str):
     return run
 
 
-def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block with the log-probabilities of its pairs -> a row for each document."""
-    unpack = zstandard.ZstdDecompressor()
-    for b in batches:
-        for k in range(b.num_rows):
-            doc_ids, langs, trust, lengths, ids = (b.column(j)[k] for j in range(5))
-            n = np.array(lengths.values)
-            flat = np.frombuffer(unpack.decompress(ids.as_py()), "<u2")
-            found = b.column(5)[k].values
-            keys, logs = np.array(found.field(0)), np.array(found.field(1), np.float64) if len(found) else np.empty(0)
-            order = np.argsort(keys)
-            keys, logs = keys[order], logs[order]
-            ends = np.cumsum(n)
-            total = np.zeros(len(n))
-            for i, (lo, hi) in enumerate(zip(ends - n, ends)):
-                if hi > lo:
-                    p = pairs_of(flat[lo:hi])
-                    at = np.searchsorted(keys, p)
-                    if (keys[np.minimum(at, len(keys) - 1)] != p).any():
-                        raise ValueError("a pair of this block has no probability")
-                    total[i] = -logs[at].sum()
-            yield pa.record_batch([doc_ids.values, langs.values, trust.values, pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "lang", "trust", "n_tokens", "nll"])
+def scorer(folder: str):
+    """An Arrow function: blocks -> a row for each document, with the log-probabilities of a block's pairs from the committed table in folder.
+
+    A merge join on the map side: the table is laid out by input part, so each task reads what its own blocks asked for, and neither
+    texts nor ids are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        files, at = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            for k in range(b.num_rows):
+                block, doc_ids, langs, trust, lengths, ids = (b.column(j)[k] for j in range(6))
+                n = np.array(lengths.values)
+                flat = np.frombuffer(unpack.decompress(ids.as_py()), "<u2")
+                keys, logs = np.empty(0, np.int64), np.empty(0)
+                if len(flat):
+                    found = pq.read_table(f"{at}/part={block.as_py() >> PART_BITS}", filesystem=files, columns=["pair", "logp"], filters=[("block", "=", block.as_py())], partitioning=None)
+                    keys, logs = found.column("pair").to_numpy(), found.column("logp").to_numpy()
+                    order = np.argsort(keys)
+                    keys, logs = keys[order], logs[order].astype(np.float64)
+                ends = np.cumsum(n)
+                total = np.zeros(len(n))
+                for i, (lo, hi) in enumerate(zip(ends - n, ends)):
+                    if hi > lo:
+                        p = pairs_of(flat[lo:hi])
+                        place = np.searchsorted(keys, p)
+                        if (keys[np.minimum(place, len(keys) - 1)] != p).any():
+                            raise ValueError("a pair of this block has no probability")
+                        total[i] = -logs[place].sum()
+                yield pa.record_batch([doc_ids.values, langs.values, trust.values, pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "lang", "trust", "n_tokens", "nll"])
+
+    return run
 
 
 def discounts(counts: DataFrame, column: str) -> list[float]:
@@ -155,9 +171,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, path: str | None = None) ->
     counts = staged(counts, "counts")
     each = made.select("block", F.explode("pairs").alias("pair"))
     logs = log_probabilities(each.select("pair").distinct(), counts, tokenizer(path).whole.get_vocab_size())
-    back = each.join(logs, "pair").groupBy("block").agg(F.collect_list(F.struct("pair", F.col("logp").cast("float").alias("logp"))).alias("found"))  # bounded by a block's tokens
-    joined = made.select("block", "doc_ids", "langs", "trust", "lengths", "ids").join(back, "block", "left").select("doc_ids", "langs", "trust", "lengths", "ids", F.coalesce("found", F.expr("cast(array() as array<struct<pair:bigint,logp:float>>)")).alias("found"))
-    return staged(joined.mapInArrow(scored, f"doc_id {kind}, lang string, trust int, n_tokens bigint, nll double"), "scored")
+    asked = each.join(logs, "pair").select("block", "pair", F.col("logp").cast("float").alias("logp"), F.shiftright("block", PART_BITS).alias("part"))
+    folder = new_path(docs.sparkSession, "logs")
+    asked.repartition("part").sortWithinPartitions("part", "block").write.option("compression", "zstd").partitionBy("part").parquet(folder)
+    scored = made.select("block", "doc_ids", "langs", "trust", "lengths", "ids").mapInArrow(scorer(folder), f"doc_id {kind}, lang string, trust int, n_tokens bigint, nll double")
+    return staged(scored, "scored")
 
 
 def quality(docs: DataFrame, labels: DataFrame, path: str | None = None, reject: float = REJECT, margin: float = MARGIN) -> DataFrame:
