@@ -1,6 +1,6 @@
 """Queries of the fact store, each with the same definition for Spark and for its oracle."""
 
-from . import custom, graph, projection, retrieve, store  # noqa: F401
+from . import custom, extra, graph, projection, retrieve, store  # noqa: F401
 from .catalog import PLANS
 
 FLAGSHIP = "q_pack"
