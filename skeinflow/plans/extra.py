@@ -20,7 +20,7 @@ from .custom import Custom, src_json
 from .graph import answers, nearest
 from .projection import rp_gazetteer
 from .retrieve import q_pack
-from .store import knots, scaled, ss_tumbling, win_burst
+from .store import knots, ss_tumbling, win_burst
 
 for _v in (1, 2, 3):
     PLANS[f"src_json_v{_v}"] = Plan(f"src_json_v{_v}", (), (lambda v: lambda d: f"SELECT * FROM ({src_json(d)}) j WHERE v = {v}")(_v))
@@ -103,7 +103,7 @@ def ev_measure(d):
 
 def late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts as a stream with a watermark; with all data there they are those of the batch form."""
-    at, source = f"{work_dir(spark)}/late-{uuid.uuid4().hex}", f"{sf_dir}/events.parquet"
+    at = f"{work_dir(spark)}/late-{uuid.uuid4().hex}"
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     counts = events.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 hour"), "event_type").count()
 
@@ -111,7 +111,6 @@ def late(spark: SparkSession, sf_dir: str) -> DataFrame:
         batch.select(F.col("window.start").alias("hour"), "event_type", F.col("count").alias("n"), F.lit(number).alias("batch")).write.mode("append").parquet(f"{at}/rows")
 
     counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    del source
     rows = spark.read.parquet(f"{at}/rows")
     return rows.groupBy("hour", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
@@ -133,5 +132,3 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLANS["br_llm_judge"] = PLANS["src_llm"] = Custom("br_llm_judge", judged)
-
-__all__ = ["scaled"]

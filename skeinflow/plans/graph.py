@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from ..config import DEFAULT as C
 from ..functions import text as T
-from ..functions import vocab as V
 from . import fixtures as X
 from .catalog import PLANS, Plan, plan
-from .retrieve import fold, importances, joined, packed, queries, scores
-from .store import history, index, knots, real, scaled
+from .retrieve import fold, joined, packed, queries, scores
+from .store import history, index, knots, scaled
 
 
 def cords(d):
@@ -327,5 +326,3 @@ def agg_density(d): return f"WITH {knots(d)} SELECT k.conv_id, {scaled('stored /
 @plan("events")
 def agg_summary_seeds(d): return f"SELECT event_type, count(*) AS n, {scaled('min(value)', 1000)} AS low, {scaled('max(value)', 1000)} AS high FROM events GROUP BY event_type"
 
-
-__all__ = ["V", "importances", "real"]
