@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACES, keep_or_drop, small_enough, staged
+from .common import SPACES, keep_or_drop, staged
 
 #: A chunk ends after a vowel, one of s to v, and a comma or full stop, or such a pair before an upper-case letter; 256 to 4096 characters.
 CHUNK = r"(?s).{255,4093}?[aeiou][nr-v][.,A-Z]|.{1,4096}"
@@ -100,5 +100,3 @@ def drop_exact(docs: DataFrame) -> DataFrame:
         out = out.withColumn("__norm", normalised(F.col("text"))).dropDuplicates(["doc_id", "__norm"]).drop("__norm")
     return out
 
-
-__all__ = ["BROADCAST_ROWS", "drop_exact", "exact_duplicates", "small_enough"]
