@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.dialect import DUCK
+from ..functions.dialect import DUCK, SPARK
 from ..operators import rules
 from ..operators.extract import extract_knots, per_text
-from ..sources.tables import table
-from ..streaming.observe import run_once
+from ..sources.tables import register, table
+from ..streaming.observe import run_once, work_dir
 from . import fixtures as X
 from .catalog import PLANS, plan
-from .store import history
+from .store import both, descendants, history
 
 
 @dataclass(frozen=True)
@@ -69,6 +70,19 @@ def live_sql(d) -> str:
 #: The stream's live facts are those of the batch form, as long as no memory is full.
 PLANS["ss_observe"] = Custom("ss_observe", lambda spark, sf_dir: run_once(spark, f"{sf_dir}/conversations.parquet").select("conv_id", "text"), live_sql(DUCK))
 
+
+
+def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recursion runs over a written table of who replaced whom, so that its steps don't work that out again."""
+    register(spark, sf_dir, ["conversations"])
+    at = f"{work_dir(spark)}/killers-{uuid.uuid4().hex}"
+    spark.sql(f"WITH {history(SPARK, both(SPARK))} SELECT conv_id, n, killer FROM killers").write.parquet(at)
+    spark.read.parquet(at).createOrReplaceTempView("skeinflow_killers")
+    return spark.sql(f"WITH RECURSIVE {descendants(SPARK, 'skeinflow_killers')}")
+
+
+PLANS["st_inherit"] = Custom("st_inherit", inherited, f"WITH RECURSIVE {history(DUCK, both(DUCK))}, {descendants(DUCK)}")
+
 FILES = ['{"v":3,"max":500,"o":90,"seq":3,"k":[["the user has a dog",1,0,12.5,["walk"],2],["bad"],["the user lives in Ghent",3,1,13.25,[],0]]}', '{"v":2,"max":60,"o":40,"seq":2,"k":[["old format fact",1,4,1.5],["old format fact",2,0,1.75]]}', '{"e":["first fact here","second fact here"],"o":7}', "not a memory"]
 
 

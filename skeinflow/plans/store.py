@@ -132,13 +132,10 @@ def st_dedupe(d): return f"WITH {history(d, both(d))} SELECT conv_id, n FROM add
 def st_supersede(d): return f"WITH {history(d, both(d))} SELECT k.conv_id, k.n, killer, killer IS NULL AS live, text FROM killers k JOIN occ o ON k.conv_id = o.conv_id AND k.n = o.n"
 
 
-@plan()
-def st_inherit(d):
+def descendants(d, killers="killers"):
     """reinforced: how many facts each added fact has replaced, directly or through others."""
-    base = history(d, X.own_turns(d))
-    return f"""{d.recursive} {base},
-up AS (SELECT conv_id, n AS node, killer AS anc FROM killers WHERE killer IS NOT NULL UNION ALL SELECT u.conv_id, u.node, k.killer FROM up u JOIN killers k ON u.conv_id = k.conv_id AND u.anc = k.n WHERE k.killer IS NOT NULL)
-SELECT a.conv_id, a.n, count(u.node) AS reinforced FROM added a LEFT JOIN up u ON a.conv_id = u.conv_id AND a.n = u.anc GROUP BY a.conv_id, a.n"""
+    return f"""up AS (SELECT conv_id, n AS node, killer AS anc FROM {killers} WHERE killer IS NOT NULL UNION ALL SELECT u.conv_id, u.node, k.killer FROM up u JOIN {killers} k ON u.conv_id = k.conv_id AND u.anc = k.n WHERE k.killer IS NOT NULL)
+SELECT a.conv_id, a.n, count(u.node) AS reinforced FROM {killers} a LEFT JOIN up u ON a.conv_id = u.conv_id AND a.n = u.anc GROUP BY a.conv_id, a.n"""
 
 
 @plan("conversations")
