@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 BLOCK = 256
 SALTS = 16
@@ -35,7 +37,7 @@ def branches(conversations: DataFrame) -> DataFrame:
 
     The stale answer repeats the assistant's answer before its last one (empty if there is none) in place of that. Without an answer both sides are equal.
     """
-    rows = clean(conversations, "conv_id").distinct()
+    rows = staged(clean(conversations, "conv_id").distinct(), "turns")
     place = F.struct("turn", "text")
     last = rows.where("role = 'assistant'").groupBy("key").agg(F.max(place).alias("last"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("turn", "text"), F.lit(SALTS)))
@@ -50,26 +52,29 @@ def branches(conversations: DataFrame) -> DataFrame:
 
 def format_pairs(turns: DataFrame) -> DataFrame:
     """pair_id, part (prompt, chosen, rejected), turn, k, role, rendered, start, stop, train_start, train_stop (null where not trained on)."""
-    rows = clean(turns, "pair_id").distinct()
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("key", "side", "turn").orderBy("role", "text")) - 1)
-    one, two = (rows.where(F.col("side") == s).select("key", "turn", "k", F.struct("role", "text").alias(s)) for s in ("chosen", "rejected"))
+    full = clean(turns, "pair_id").distinct()
+    full = full.withColumn("k", F.row_number().over(Window.partitionBy("key", "side", "turn").orderBy("role", "text")) - 1)
+    full = staged(full.withColumn("row", F.monotonically_increasing_id()).withColumn("sha", F.unhex(F.sha2(F.concat_ws("\u0001", "role", "text"), 256))), "sides")
+    # places are worked out on narrow rows; texts move once more, to meet their places
+    head = F.concat(F.lit(OPEN), "role", F.lit("\n"))
+    narrow = full.select("row", "key", "side", "turn", "k", "sha", (F.col("role") == "assistant").alias("answer"), F.char_length(head).cast("bigint").alias("head"),
+                         (F.char_length(head) + F.char_length("text") + len(CLOSE) + 1).cast("bigint").alias("size"))
+    one, two = (narrow.where(F.col("side") == s).select("key", "turn", "k", F.col("sha").alias(s)) for s in ("chosen", "rejected"))
     differ = one.join(two, ["key", "turn", "k"], "full").where(~F.col("chosen").eqNullSafe(F.col("rejected")))
     ends = differ.groupBy("key").agg(F.min(F.struct("turn", "k")).alias("end")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = rows.withColumn("salt", F.pmod(F.xxhash64("turn", "k"), F.lit(SALTS))).join(ends, ["key", "salt"], "left")
+    found = narrow.withColumn("salt", F.pmod(F.xxhash64("turn", "k"), F.lit(SALTS))).join(ends, ["key", "salt"], "left")
     shared = F.col("end").isNull() | (F.struct("turn", "k") < F.col("end"))
     parts = found.withColumn("part", F.when(shared, "prompt").otherwise(F.col("side"))).where((F.col("part") != "prompt") | (F.col("side") == "chosen"))
-    head = F.concat(F.lit(OPEN), "role", F.lit("\n"))
-    parts = parts.select("key", "part", "turn", "k", "role", F.concat(head, "text", F.lit(CLOSE + "\n")).alias("rendered"), F.char_length(head).cast("bigint").alias("head"), F.floor(F.col("turn") / BLOCK).alias("block"))
-    parts = parts.withColumn("size", F.char_length("rendered").cast("bigint"))
+    parts = parts.select("row", "key", "part", "turn", "k", "answer", "head", "size", F.floor(F.col("turn") / BLOCK).alias("block"))
     inside = Window.partitionBy("key", "part", "block").orderBy("turn", "k").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("key", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     skips = parts.groupBy("key", "part", "block").agg(F.sum("size").alias("all")).select("key", "part", "block", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("skip"))
     local = parts.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = local.join(skips, ["key", "part", "block"]).withColumn("start", F.col("skip") + F.col("local"))
-    trained = (F.col("part") != "prompt") & (F.col("role") == "assistant")
-    stop = F.col("start") + F.col("size")
-    return out.select(F.when(F.col("key") != "", F.col("key")).alias("pair_id"), "part", "turn", F.col("k").cast("bigint").alias("k"), "role", "rendered", "start", stop.alias("stop"),
-                      F.when(trained, F.col("start") + F.col("head")).alias("train_start"), F.when(trained, stop - 1).alias("train_stop"))
+    placed = local.join(skips, ["key", "part", "block"]).withColumn("start", F.col("skip") + F.col("local")).withColumn("stop", F.col("start") + F.col("size"))
+    trained = (F.col("part") != "prompt") & F.col("answer")
+    places = placed.select("row", "part", "start", "stop", F.when(trained, F.col("start") + F.col("head")).alias("train_start"), F.when(trained, F.col("stop") - 1).alias("train_stop"))
+    out = full.select("row", "key", "turn", "k", "role", "text").join(places, "row")
+    return out.select(F.when(F.col("key") != "", F.col("key")).alias("pair_id"), "part", "turn", F.col("k").cast("bigint").alias("k"), "role", F.concat(head, "text", F.lit(CLOSE + "\n")).alias("rendered"), "start", "stop", "train_start", "train_stop")
 
 
 def assemble(formatted: DataFrame, most_chars: int = ASSEMBLE_CHARS) -> DataFrame:
