@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import new_path, slices, small_enough, staged
 from .tokens import default_path, tokenizer
 
-BLOCK_TOKENS = 8 << 20
+BLOCK_TOKENS = 2 << 20
 START = 65_535
 #: A block is its input part and a number below 2**PART_BITS.
 PART_BITS = 24
@@ -59,11 +59,17 @@ def blocks(path: str):
 
         def done() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            every = [pairs_of(np.frombuffer(x, "<u4")) for x in ids]
-            flat = np.concatenate([np.empty(0, np.int64), *every])
-            train, times = np.unique(np.concatenate([np.empty(0, np.int64), *(p for p, t in zip(every, columns[2]) if t == 1)]), return_counts=True)
+            every, learned, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for x, t in zip(ids, columns[2]):  # distinct pairs by document first: a block's pairs are never all in memory
+                pairs, times = np.unique(pairs_of(np.frombuffer(x, "<u4")), return_counts=True)
+                every.append(pairs)
+                if t == 1:
+                    learned.append(pairs)
+                    counts.append(times)
+            train, which = np.unique(np.concatenate(learned), return_inverse=True)
+            times = np.bincount(which, np.concatenate(counts), len(train)).astype(np.int64)
             blob = pack.compress(np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes())
-            row = {"block": part << PART_BITS | made, "doc_ids": columns[0], "langs": columns[1], "trust": columns[2], "lengths": lengths, "ids": blob, "pairs": np.unique(flat), "train": train, "times": times}
+            row = {"block": part << PART_BITS | made, "doc_ids": columns[0], "langs": columns[1], "trust": columns[2], "lengths": lengths, "ids": blob, "pairs": np.unique(np.concatenate(every)), "train": train, "times": times}
             return row
 
         def batch(row: dict, id_type: pa.DataType) -> pa.RecordBatch:

@@ -38,7 +38,7 @@ class WordTokens(dict):
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 2:
             self.clear()
         if PLAIN(word) and "<|" not in word:
             low = word.lower()
@@ -77,7 +77,7 @@ class WordTokens(dict):
     def piece(self, run: str) -> bytes:
         ids = self.pieces.get(run)
         if ids is None:
-            if len(self.pieces) >= CACHE_WORDS:
+            if len(self.pieces) >= CACHE_WORDS // 2:
                 self.pieces.clear()
             codes = run.encode().translate(self.table)
             ids = self.pieces[run] = array("I", self.merge(codes[:-1] + bytes([codes[-1] + 128]))).tobytes()
