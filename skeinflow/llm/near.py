@@ -9,8 +9,8 @@ A document's words are its runs of characters outside [\\x20\\x09-\\x0D], A-Z lo
 2. Classes are posted under each (coordinate, value). A pair at 0.75 collides on 96 of 128 coordinates on average, and on
    fewer than MATCHES = 70 of them less than once in 10 million times. So only values that occur again count; a class with fewer
    than 70 of those is done (skipped), which in turn leaves values that occur no more, so that is repeated. The others are
-   posted under their rarest values only, as a pair with 70 common values must share one among the first (size - 70 + 1) in order
-   of rarity (prefix). A value shared by very many is in no prefix unless nearly all of a class's values are such.
+   posted under their rarest values only, as a pair with 70 common values must share 8 among the first (size - 70 + 8) in order
+   of rarity (prefix): pairs are counted, and those that meet in fewer than 8 lists are skipped. A value shared by very many is in no prefix unless nearly all of a class's values are such.
 3. Lists are merged in rounds: in each list, every class is compared with one leader, and what is linked becomes one component.
    A list whose members are all in one component needs no further pair: a group of thousands of near copies costs about as
    many comparisons as it has members. The last round compares all pairs of different components that still share a list
@@ -37,8 +37,10 @@ MATCHES = 70
 PRUNINGS = 2
 PER_CENT = 75
 ROUNDS = 3
-#: Prefix lists in which a class must meet a leader to be compared in a round; the last round has no such condition.
-TOGETHER = 3
+#: Prefixes are so long that a pair with MATCHES common values meets in this many lists at least; fewer meetings need no look.
+TOGETHER = 8
+#: Bits of a key: 7 for the coordinate, 32 for the value.
+KEY_BITS = 39
 _random = np.random.default_rng(7)
 _TIMES = _random.integers(0, 2**32, COORDINATES, np.uint32) | np.uint32(1)
 _PLUS = _random.integers(0, 2**32, COORDINATES, np.uint32)
@@ -93,12 +95,14 @@ def prefixes(signed: DataFrame) -> DataFrame:
     """(key, node): the prefix postings of classes that have enough values which occur again."""
     key = F.shiftleft(F.col("i").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint").bitwiseAND(F.lit(2**32 - 1)))
     posted = signed.select("node", F.posexplode("signature").alias("i", "v")).select("node", key.alias("key"))
+    ranked = F.shiftleft(F.least("n", F.lit(2**24 - 1)), KEY_BITS).bitwiseOR(F.col("key"))  # sorts by rarity, then key, in one number
     for k in range(1 + PRUNINGS):
         again = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        lists = posted.join(again, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= MATCHES)
-        lists = staged(lists.select("node", F.transform("keys", lambda x: x["key"]).alias("keys")), f"lists{k}")
-        posted = lists.select("node", F.explode("keys").alias("key"))
-    return staged(lists.select("node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1))).alias("key")), "prefixes")
+        lists = posted.join(again, "key").groupBy("node").agg(F.sort_array(F.collect_list(ranked)).alias("keys")).where(F.size("keys") >= MATCHES)
+        lists = staged(lists, f"lists{k}")
+        posted = lists.select("node", F.explode("keys").alias("key")).withColumn("key", F.col("key").bitwiseAND(F.lit(2**KEY_BITS - 1)))
+    first = F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - TOGETHER))
+    return staged(lists.select("node", F.explode(first).alias("key")).withColumn("key", F.col("key").bitwiseAND(F.lit(2**KEY_BITS - 1))), "prefixes")
 
 
 def sets_of(docs: DataFrame, info: DataFrame) -> DataFrame:
@@ -109,14 +113,20 @@ def sets_of(docs: DataFrame, info: DataFrame) -> DataFrame:
     return found if found.count() == which.count() else staged(found.dropDuplicates(["node"]), "sets")
 
 
+def narrow(pairs: DataFrame):
+    """A broadcast hint for staged pairs where their count allows it, so that wide rows needn't move to meet them; else none."""
+    return F.broadcast if small_enough(pairs) else lambda df: df
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of staged pairs (a, b) whose full sets are linked. A b that many a share is salted."""
+    """Those of staged pairs (a, b) whose full sets are linked. A b that many a share is salted; only sets that pairs need move."""
+    hint = narrow(pairs)
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(16)).alias("salt"))
-    lead = salted.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    own = salted.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    lead = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(hint(salted.select("b", "salt").distinct()), "b")
+    own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(hint(salted), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    return staged(own.join(lead, ["b", "salt"]).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both"))
-                  .where(F.lit(100) * F.col("both") >= F.lit(PER_CENT) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct(), "linked")
+    found = own.join(lead, ["b", "salt"]).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both"))
+    return staged(found.where(F.lit(100) * F.col("both") >= F.lit(PER_CENT) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct(), "linked")
 
 
 def close_in_size(a: str, b: str):
@@ -124,10 +134,12 @@ def close_in_size(a: str, b: str):
 
 
 def collide(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose signatures agree on enough coordinates."""
+    """Those of staged pairs (a, b) whose signatures agree on enough coordinates."""
+    hint = narrow(pairs)
     same = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda z: z))
-    left, right = (info.select(F.col("node").alias(n), F.col("signature").alias(s)) for n, s in (("a", "s1"), ("b", "s2")))
-    return pairs.join(left, "a").join(right, "b").where(same >= MATCHES).select("a", "b")
+    left = info.select(F.col("node").alias("a"), F.col("signature").alias("s1")).join(hint(pairs), "a")
+    right = info.select(F.col("node").alias("b"), F.col("signature").alias("s2")).join(hint(pairs.select("b").distinct()), "b", "left_semi")
+    return left.join(right, "b").where(same >= MATCHES).select("a", "b")
 
 
 def size_class(size: str):
@@ -154,7 +166,8 @@ def merge(post: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
             classed = open_.select("key", "node", "size", "comp", size_class("size").alias("k"))
             other = classed.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"), F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
             every = classed.withColumnRenamed("node", "a").join(other, ["key", "k"]).where((F.col("comp") < F.col("comp_b")) & close_in_size("size", "size_b"))
-            pairs = collide(every.select("a", "b").distinct(), info)
+            pairs = every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TOGETHER).select("a", "b")
+            pairs = collide(staged(pairs, "met"), info)
         more = linked(staged(pairs, "pairs"), sets)
         edges = staged(edges.unionByName(more), "links")
         if k < ROUNDS:
@@ -171,10 +184,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     rows = signed.select("row", "doc_id", "n_shingles", "high", "low")
     classed = staged(with_group(rows.where("n_shingles > 0"), ["high", "low"], [F.min("row").alias("node"), F.min("doc_id").alias("least")], [F.min("node").alias("node"), F.min("least").alias("least")], by="row"), "classes")
-    nodes = classed.where("row = node").select("node")
-    post = prefixes(signed.select(F.col("row").alias("node"), "signature").join(nodes, "node"))
-    near = staged(post.select("node").distinct(), "survivors")
-    info = staged(signed.select(F.col("row").alias("node"), "row_hash", "n_shingles", "signature").join(near, "node", "left_semi"), "info")
+    copies = staged(rows.where("n_shingles = 0").select("row").unionByName(classed.where("row <> node").select("row")), "copies")
+    post = prefixes(keep_or_drop(signed, copies, "left_anti", "row").select(F.col("row").alias("node"), "signature"))
+    near = staged(post.select(F.col("node").alias("row")).distinct(), "survivors")
+    info = staged(keep_or_drop(signed, near, "left_semi", "row").select(F.col("row").alias("node"), "row_hash", "n_shingles", "signature"), "info")
     posts = staged(post.join(info.select("node", F.col("n_shingles").alias("size")), "node"), "posts")
     edges = merge(posts, info, sets_of(docs, info))
     comp = components(edges)
