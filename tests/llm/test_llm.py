@@ -266,6 +266,28 @@ def test_decontamination(spark, none):
     assert decontaminate.find_leaks(d.where("false"), b).count() == 0 and decontaminate.find_leaks(d, b.where("false")).count() == 0
 
 
+def test_decontamination_where_copies_make_the_item_common(spark):
+    rng = random.Random(8)
+    own = [f"w{k}" for k in range(4000)]
+    item, short = ([rng.choice(own) for _ in range(n)] for n in (36, 10))
+    page = [rng.choice(own) for _ in range(60)]
+
+    def edited(words, share):
+        out = list(words)
+        for k in rng.sample(range(len(out)), round(share * len(out))):
+            out[k] = rng.choice(own)
+        return out
+
+    def around(words):
+        return " ".join(page[:30] + words + page[30:])
+
+    docs = [(k, " ".join(rng.choice(own) for _ in range(120))) for k in range(300)]
+    docs += [(1000 + k, around(item + page[:5] + short)) for k in range(100)]
+    docs += [(2000 + k, around(edited(item, 0.1))) for k in range(20)] + [(3000 + k, around(edited(item[:24], 0.4) + item[24:])) for k in range(20)] + [(4000 + k, around(edited(short, 0.1))) for k in range(20)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id bigint, text string")).collect()}
+    assert got == {(1000 + k, i) for k in range(100) for i in (1, 2)} | {(g + k, 1) for g in (2000, 3000) for k in range(20)} | {(4000 + k, 2) for k in range(20)}
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
