@@ -288,6 +288,18 @@ def test_decontamination_where_copies_make_the_item_common(spark):
     assert got == {(1000 + k, i) for k in range(100) for i in (1, 2)} | {(g + k, 1) for g in (2000, 3000) for k in range(20)} | {(4000 + k, 2) for k in range(20)}
 
 
+def test_decontamination_of_items_that_the_dimensions_lose(spark, monkeypatch):
+    rng = random.Random(9)
+    pick = lambda n: [rng.choice(WORDS) + str(rng.randrange(150)) for _ in range(n)]
+    items = [pick(30) for _ in range(8)]
+    docs = [(k, " ".join(pick(120))) for k in range(200)]
+    docs += [(1000 + k, " ".join(pick(45) + w + pick(45))) for k, w in enumerate(items)]
+    docs += [(2000 + k, " ".join(pick(45) + [x for j, x in enumerate(w) if j % 5 or j > 20] + pick(45))) for k, w in enumerate(items)]
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda rows, columns, rank: np.eye(columns, rank, 1 - columns, dtype=np.float32))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")).collect()}
+    assert got == {(g + k, k) for g in (1000, 2000) for k in range(8)}
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
