@@ -300,6 +300,17 @@ def test_decontamination_of_items_that_the_dimensions_lose(spark, monkeypatch):
     assert got == {(g + k, k) for g in (1000, 2000) for k in range(8)}
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(10)
+    pick = lambda n: [rng.choice(WORDS) + str(rng.randrange(150)) for _ in range(n)]
+    items = [pick(100 + 50 * k) for k in range(8)]
+    docs = [(k, " ".join(pick(500))) for k in range(100)]
+    docs += [(1000 + k, " ".join(pick(45) + w + pick(45))) for k, w in enumerate(items)]
+    docs += [(2000 + k, " ".join(pick(45) + [x for j, x in enumerate(w) if j % 4 or j > len(w) * 0.7] + pick(45))) for k, w in enumerate(items)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")).collect()}
+    assert got == {(g + k, k) for g in (1000, 2000) for k in range(8)}
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
