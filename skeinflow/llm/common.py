@@ -9,22 +9,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of 8 to 24 bytes up to which a key list is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Entries of a worker's word cache. The cache is only for speed: it is emptied when full.
 CACHE_WORDS = 400_000
+#: Bytes of an Arrow batch that goes to or comes from a worker.
+BATCH_BYTES = 4 << 20
 #: Delimiters of the word rule [^\x20\x09-\x0D]+; bytes.split() cuts at exactly these.
 SPACES = "\\x20\\x09-\\x0D"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. spark.checkpoint.dir if the cluster names one; else (tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master (tests) may do without, and gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="skeinflow-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -35,6 +38,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def in_arrow(df: DataFrame, f, shape) -> DataFrame:
+    """df.mapInArrow, with Arrow batches of bounded bytes unless the session says otherwise: by default a batch is 10,000 rows, however long their texts are."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(f, shape)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and a lost executor costs nothing done before."""
     spark = df.sparkSession
@@ -43,6 +54,29 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def key_of(*columns: str) -> list[Column]:
+    """k1, k2: a 128-bit key of columns, by two hashes with different seeds."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).alias("k2")]
+
+
+def keep_keys(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """docs without the rows that found drops. found: staged (k1, k2, stays), a row for each row of docs or only for those whose key has a row to drop.
+
+    Rows of one key (equal in columns) that don't all stay are repeated rows, of which one stays.
+    """
+    names = {"k1": "__k1_of_row", "k2": "__k2_of_row"}
+    keys = list(names.values())
+    some = found.groupBy("k1", "k2").agg(F.max("stays").alias("stays"), F.min("stays").alias("all")).where("not all").withColumnsRenamed(names)
+    some = staged(some.select(*keys, "stays"), "drop")
+    wide = docs.withColumns(dict(zip(keys, key_of(*columns))))
+    hint = F.broadcast if small_enough(some) else lambda df: df
+    out = wide.join(hint(some.select(*keys)), keys, "left_anti")
+    thin = some.where("stays").select(*keys)
+    if thin.limit(1).count():
+        out = out.unionByName(wide.join(hint(thin), keys, "left_semi").dropDuplicates(keys))
+    return out.drop(*keys)
+
+
 def small_enough(ids: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ids (narrow, staged rows) has at most limit rows. Reads no more than limit + 1 rows."""
     return ids.limit(limit + 1).count() <= limit
@@ -53,29 +87,78 @@ def keep_or_drop(rows: DataFrame, ids: DataFrame, how: str, key: str = "doc_id")
     return rows.join(F.broadcast(ids) if small_enough(ids) else ids, key, how)
 
 
-class WordHashes(dict):
-    """bytes word -> 64-bit hash as int, remembered up to CACHE_WORDS words."""
+def mix(x: np.ndarray) -> np.ndarray:
+    """Bijective scrambling of 64-bit values (the finaliser of a public mixing function)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+_BYTES = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
+_LOWER = _BYTES.copy()
+_LOWER[65:91] = _BYTES[97:123]
+#: Bytes of text that are hashed at once: the arrays for them stay in a core's cache.
+HASHED_AT_ONCE = 1 << 19
 
-_WORDS = WordHashes()
 
+class Places:
+    """Powers of an odd number, as far as needed."""
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    def __init__(self):
+        self.up = np.ones(1, np.uint64)
 
+    def to(self, n: int) -> np.ndarray:
+        if len(self.up) < n:
+            steps = np.full(max(n, 1 << 10), 0x9E3779B97F4A7C15, np.uint64)
+            steps[0] = 1
+            self.up = np.cumprod(steps, dtype=np.uint64)
+        return self.up
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Bijective scrambling of 64-bit values (the finaliser of a public mixing function)."""
+
+_PLACES = Places()
+
+
+def hashed(a: np.ndarray, breaks: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of bytes a (runs outside SPACES, and none across breaks), and the words' first bytes.
+
+    A word's hash is the mixed sum of random numbers for its bytes times powers for their places, so numpy does all words at once.
+    """
+    solid = _SOLID[a]
+    start, stop = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1]
+    stop[:-1] &= ~solid[1:]
+    inner = breaks[(breaks > 0) & (breaks < len(a))]
+    start[inner] = solid[inner]
+    stop[inner - 1] = solid[inner - 1]
+    lo = np.flatnonzero(start)
+    if not len(lo):
+        return np.empty(0, np.uint64), lo
+    n = np.flatnonzero(stop) + 1 - lo
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        values = (_LOWER if lower else _BYTES)[a[solid]] * _PLACES.to(int(n.max()))[place]
+        return mix(np.add.reduceat(values, first) + n.astype(np.uint64)), lo
+
+
+def column_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a string column, one row after the other, and where each row's begin (with the end of all). A null has no words."""
+    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    at = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    found, ends, made, row = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)], 0, 0
+    while row < len(column):
+        upto = max(row + 1, int(np.searchsorted(at, at[row] + HASHED_AT_ONCE, "right")) - 1)
+        h, lo = hashed(data[at[row] : at[upto]], at[row : upto + 1] - at[row], lower)
+        found.append(h)
+        ends.append(made + np.searchsorted(lo, at[row + 1 : upto + 1] - at[row]))
+        made += len(h)
+        row = upto
+    return np.concatenate(found), np.concatenate(ends)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

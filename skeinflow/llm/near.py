@@ -4,20 +4,24 @@ A document's words are its runs of characters outside [\\x20\\x09-\\x0D], A-Z lo
 (with one word, that word; without words or with a null text, empty and linked with nothing). Documents are linked when
 100 * intersection >= 75 * union, and components of linked documents are reported.
 
-1. Each whole text becomes 64-bit shingle hashes and a signature of 128 MinHash coordinates. Equal sets form one class, by a
-   128-bit fingerprint of the set; from here on only classes are compared.
-2. Classes are posted under each (coordinate, value). A pair at 0.75 collides on 96 of 128 coordinates on average, and on
-   fewer than MATCHES = 70 of them less than once in 10 million times. So only values that occur again count; a class with fewer
-   than 70 of those is done (skipped), which in turn leaves values that occur no more, so that is repeated. The others are
-   posted under their rarest values only, as a pair with 70 common values must share 8 among the first (size - 70 + 8) in order
-   of rarity (prefix): pairs are counted, and those that meet in fewer than 8 lists are skipped. A value shared by very many is in no prefix unless nearly all of a class's values are such.
-3. Lists are merged in rounds: in each list, every class is compared with one leader, and what is linked becomes one component.
+1. Each whole text becomes 64-bit shingle hashes and 128 MinHash coordinates. Equal sets form one class, by a 128-bit fingerprint of
+   the set; from here on only classes are compared.
+2. Skipping: a pair at 0.75 agrees on 3 or more of 42 triples of coordinates, but for 5 in 100 million. A class with fewer than 3 triples that
+   occur again has no partner, and is skipped before any posting. Triples of unlike texts hardly ever coincide, so what goes on is
+   about as many classes as have partners, whatever the size of the corpus.
+3. The others are posted under each (coordinate, value). A pair at 0.75 collides on 96 of 128 coordinates on average, and on fewer than
+   MATCHES = 70 of them less than once in 10 million times. So only values that occur again count, a class with fewer than 70 of those is
+   done, and the rest are posted under their rarest values only, as a pair with 70 common values must share 8 among the first
+   (size - 70 + 8) in order of rarity (prefix): pairs are counted, and those that meet in fewer than 8 lists are skipped. A value
+   shared by very many is in no prefix unless nearly all of a class's values are such.
+4. Lists are merged in rounds: in each list, every class is compared with one leader, and what is linked becomes one component.
    A list whose members are all in one component needs no further pair: a group of thousands of near copies costs about as
    many comparisons as it has members. The last round compares all pairs of different components that still share a list
    and collide on 70 coordinates, so no link between components is missed; pairs within a component are never expanded.
 
 Every comparison is of the full sets. Null and repeated doc_ids are allowed: rows with equal sets are one class, and a
 component's id is its smallest doc_id that isn't null. An empty table gives an empty result. Only doc_id and text are read.
+drop_near keeps one row of each component: that with the smallest doc_id, a null one last; rows without a set all stay.
 """
 
 from __future__ import annotations
@@ -30,15 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep_or_drop, mix, raw, slices, small_enough, staged, with_group, word_hashes
+from .common import column_hashes, components, in_arrow, keep_keys, keep_or_drop, key_of, mix, slices, small_enough, staged, with_group
 
 COORDINATES = 128
 MATCHES = 70
-PRUNINGS = 2
 PER_CENT = 75
 ROUNDS = 3
 #: Prefixes are so long that a pair with MATCHES common values meets in this many lists at least; fewer meetings need no look.
 TOGETHER = 8
+#: Triples of coordinates, and how many of them a pair has in common at least.
+TRIPLES = COORDINATES // 3
+COMMON_TRIPLES = 3
 #: Bits of a key: 7 for the coordinate, 32 for the value.
 KEY_BITS = 39
 _random = np.random.default_rng(7)
@@ -47,13 +53,13 @@ _PLUS = _random.integers(0, 2**32, COORDINATES, np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the set of a text."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    return np.unique(mix(h[:-1]) * _STEP + h[1:] if len(h) > 1 else mix(h + _STEP))
+def sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text: the sorted distinct 64-bit hashes of its set."""
+    h, first = column_hashes(column, lower=True)
+    with np.errstate(over="ignore"):
+        pairs = mix(h[:-1] * _STEP + h[1:])
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield np.unique(pairs[lo : hi - 1]) if hi - lo > 1 else mix(h[lo:hi] + _STEP)
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -68,48 +74,61 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), ">i8").tolist())
 
 
+def triples(sig: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each triple of coordinates."""
+    x = sig[: 3 * TRIPLES].astype(np.uint64).reshape(TRIPLES, 3)
+    with np.errstate(over="ignore"):
+        return (mix(mix(x[:, 0] << np.uint64(32) | x[:, 1]) + x[:, 2]) >> np.uint64(32)).astype(np.uint32)
+
+
+def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, kind.to_pandas_dtype()), *parts]), kind))
+
+
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, k1, k2) -> the size and fingerprint of each set, and its triples."""
     for b in slices(batches):
-        n, high, low, sig = [], [], [], []
-        for text in raw(b.column(1)):
-            s = shingles(text)
+        n, high, low, found = [], [], [], []
+        for s in sets(b.column(1)):
             n.append(len(s))
             one, two = fingerprint(s)
             high.append(one)
             low.append(two)
-            sig.append(signature(s) if len(s) else None)
-        flat = pa.array(np.concatenate([np.empty(0, np.uint32), *(x for x in sig if x is not None)]).view(np.int32), pa.int32())
-        ends = np.cumsum([0, *(0 if x is None else COORDINATES for x in sig)])
-        yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "row_hash", "n_shingles", "high", "low", "signature"])
+            found.append(triples(signature(s)).view(np.int32) if len(s) else np.empty(0, np.int32))
+        yield pa.record_batch([b.column(0), b.column(2), b.column(3), *(pa.array(x, pa.int64()) for x in (n, high, low)), lists(found, pa.int32())], ["doc_id", "k1", "k2", "n_shingles", "high", "low", "triples"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, node) -> node, size, signature, and the full set."""
     for b in slices(batches):
-        sets = [shingles(text) for text in raw(b.column(0))]
-        ends = np.cumsum([0, *map(len, sets)])
-        flat = pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64), pa.int64())
-        yield pa.record_batch([b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "shingles"])
+        found = [s for s in sets(b.column(0))]
+        sigs = [signature(s).view(np.int32) for s in found]
+        yield pa.record_batch([b.column(1), pa.array(map(len, found), pa.int64()), lists(sigs, pa.int32()), lists([s.view(np.int64) for s in found], pa.int64())], ["node", "size", "signature", "shingles"])
+
+
+def survivors(classes: DataFrame) -> DataFrame:
+    """(node) of the classes (node, triples) that have enough triples which occur again."""
+    posted = classes.select("node", F.posexplode("triples").alias("i", "v")).select("node", F.shiftleft(F.col("i").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint").bitwiseAND(F.lit(2**32 - 1))).alias("key"))
+    again = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return staged(posted.join(again, "key", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_TRIPLES).select("node"), "survivors")
 
 
-def prefixes(signed: DataFrame) -> DataFrame:
-    """(key, node): the prefix postings of classes that have enough values which occur again."""
+def prefixes(info: DataFrame) -> DataFrame:
+    """(key, node, size): the prefix postings of classes that have enough values which occur again."""
     key = F.shiftleft(F.col("i").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint").bitwiseAND(F.lit(2**32 - 1)))
-    posted = signed.select("node", F.posexplode("signature").alias("i", "v")).select("node", key.alias("key"))
+    posted = info.select("node", "size", F.posexplode("signature").alias("i", "v")).select("node", "size", key.alias("key"))
     ranked = F.shiftleft(F.least("n", F.lit(2**24 - 1)), KEY_BITS).bitwiseOR(F.col("key"))  # sorts by rarity, then key, in one number
-    for k in range(1 + PRUNINGS):
-        again = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        lists = posted.join(again, "key").groupBy("node").agg(F.sort_array(F.collect_list(ranked)).alias("keys")).where(F.size("keys") >= MATCHES)
-        lists = staged(lists, f"lists{k}")
-        posted = lists.select("node", F.explode("keys").alias("key")).withColumn("key", F.col("key").bitwiseAND(F.lit(2**KEY_BITS - 1)))
+    again = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = posted.join(again, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(ranked)).alias("keys")).where(F.size("keys") >= MATCHES)  # 128 keys at most
     first = F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - TOGETHER))
-    return staged(lists.select("node", F.explode(first).alias("key")).withColumn("key", F.col("key").bitwiseAND(F.lit(2**KEY_BITS - 1))), "prefixes")
+    return staged(found.select("node", "size", F.explode(first).alias("key")).withColumn("key", F.col("key").bitwiseAND(F.lit(2**KEY_BITS - 1))), "prefixes")
 
 
-def sets_of(docs: DataFrame, info: DataFrame) -> DataFrame:
-    """(node, shingles): the full sets of the classes of info, each from one row's text."""
-    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row_hash"))
-    which = info.select("row_hash", "node")
-    found = staged(texts.join(F.broadcast(which) if small_enough(which) else which, "row_hash").select("text", "node").mapInArrow(full_sets, "node bigint, shingles array<bigint>"), "sets")
+def info_of(docs: DataFrame, which: DataFrame) -> DataFrame:
+    """(node, size, signature, shingles) of the classes of staged which (k1, k2, node), each from one row's text."""
+    texts = docs.select("text", *key_of("doc_id", "text")).join(F.broadcast(which) if small_enough(which) else which, ["k1", "k2"])
+    found = staged(in_arrow(texts.select("text", "node"), full_sets, "node bigint, size bigint, signature array<int>, shingles array<bigint>"), "sets")
     return found if found.count() == which.count() else staged(found.dropDuplicates(["node"]), "sets")
 
 
@@ -118,12 +137,12 @@ def narrow(pairs: DataFrame):
     return F.broadcast if small_enough(pairs) else lambda df: df
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """Those of staged pairs (a, b) whose full sets are linked. A b that many a share is salted; only sets that pairs need move."""
     hint = narrow(pairs)
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(16)).alias("salt"))
-    lead = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(hint(salted.select("b", "salt").distinct()), "b")
-    own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(hint(salted), "a")
+    lead = info.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(hint(salted.select("b", "salt").distinct()), "b")
+    own = info.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(hint(salted), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     found = own.join(lead, ["b", "salt"]).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both"))
     return staged(found.where(F.lit(100) * F.col("both") >= F.lit(PER_CENT) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct(), "linked")
@@ -147,7 +166,7 @@ def size_class(size: str):
     return F.floor(F.log(F.col(size)) / F.log(F.lit(100 / PER_CENT)) - 1e-9)
 
 
-def merge(post: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
+def merge(post: DataFrame, info: DataFrame) -> DataFrame:
     """(a, b): links that join up the components, found in rounds. post: (key, node, size)."""
     spark = post.sparkSession
     edges = spark.createDataFrame([], "a bigint, b bigint")
@@ -168,7 +187,7 @@ def merge(post: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
             every = classed.withColumnRenamed("node", "a").join(other, ["key", "k"]).where((F.col("comp") < F.col("comp_b")) & close_in_size("size", "size_b"))
             pairs = every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TOGETHER).select("a", "b")
             pairs = collide(staged(pairs, "met"), info)
-        more = linked(staged(pairs, "pairs"), sets)
+        more = linked(staged(pairs, "pairs"), info)
         edges = staged(edges.unionByName(more), "links")
         if k < ROUNDS:
             comp = components(edges)
@@ -177,32 +196,39 @@ def merge(post: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id), links (confirmed links of its class)."""
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash bigint, n_shingles bigint, high bigint, low bigint, signature array<int>"
-    signed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_hash")).mapInArrow(sign, shape)
-    signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
-    rows = signed.select("row", "doc_id", "n_shingles", "high", "low")
-    classed = staged(with_group(rows.where("n_shingles > 0"), ["high", "low"], [F.min("row").alias("node"), F.min("doc_id").alias("least")], [F.min("node").alias("node"), F.min("least").alias("least")], by="row"), "classes")
+def found_rows(docs: DataFrame) -> DataFrame:
+    """near_duplicates with each row's key (k1, k2) of doc_id and text, its number (row), and stays: whether it is the one row of its component that stays."""
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, n_shingles bigint, high bigint, low bigint, triples array<int>"
+    signed = in_arrow(docs.select("doc_id", "text", *key_of("doc_id", "text")), sign, shape)
+    signed = staged(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    rows = signed.drop("triples")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    classed = with_group(rows.where("n_shingles > 0"), ["high", "low"], [F.min("row").alias("node"), F.min(first).alias("first")], [F.min("node").alias("node"), F.min("first").alias("first")], by="row")
+    classed = staged(classed.drop("high", "low"), "classes")
     copies = staged(rows.where("n_shingles = 0").select("row").unionByName(classed.where("row <> node").select("row")), "copies")
-    post = prefixes(keep_or_drop(signed, copies, "left_anti", "row").select(F.col("row").alias("node"), "signature"))
-    near = staged(post.select(F.col("node").alias("row")).distinct(), "survivors")
-    info = staged(keep_or_drop(signed, near, "left_semi", "row").select(F.col("row").alias("node"), "row_hash", "n_shingles", "signature"), "info")
-    posts = staged(post.join(info.select("node", F.col("n_shingles").alias("size")), "node"), "posts")
-    edges = merge(posts, info, sets_of(docs, info))
+    near = survivors(keep_or_drop(signed.select("row", "triples"), copies, "left_anti", "row").select(F.col("row").alias("node"), "triples"))
+    which = staged(keep_or_drop(rows.select(F.col("row").alias("node"), "k1", "k2"), near, "left_semi", "node"), "which")
+    info = info_of(docs, which)
+    edges = merge(prefixes(info), info)
     comp = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("spanning_links"))
     member = comp.join(degree, "node", "left")
-    least = classed.select("node", "least").distinct().join(member, "node").groupBy("comp").agg(F.min("least").alias("component_id"))
-    found = staged(member.join(least, "comp").select("node", "component_id", "links"), "membership")
-    linked_rows = classed.join(F.broadcast(found) if small_enough(found) else found, "node", "left")
-    out = linked_rows.select("doc_id", "n_shingles", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("links"))
-    out = out.unionByName(empty)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "links")
+    least = classed.select("node", "first").distinct().join(member, "node").groupBy("comp").agg(F.min("first").alias("lead"))
+    found = staged(member.join(least, "comp").select("node", "lead", "spanning_links"), "membership")
+    out = classed.join(F.broadcast(found) if small_enough(found) else found, "node", "left").withColumn("lead", F.coalesce("lead", "first"))
+    out = out.select("k1", "k2", "row", "doc_id", "n_shingles", F.col("lead.doc_id").alias("component_id"), F.coalesce("spanning_links", F.lit(0)).alias("spanning_links"), (F.col("row") == F.col("lead.row")).alias("stays"))
+    empty = rows.where("n_shingles = 0").select("k1", "k2", "row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("spanning_links"), F.lit(True).alias("stays"))
+    return out.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id), spanning_links.
+
+    spanning_links counts the confirmed links of a row's class that join up its component, not all pairs within it, which are never expanded.
+    """
+    return found_rows(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "spanning_links")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component; same columns. Rows with a null doc_id stay."""
-    gone = staged(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "near")
-    return keep_or_drop(docs, gone, "left_anti")
+    """docs with one row of each component; same columns."""
+    return keep_keys(docs, staged(found_rows(docs).select("k1", "k2", "stays"), "near"), "doc_id", "text")

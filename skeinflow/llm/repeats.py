@@ -29,10 +29,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_or_drop, mix, raw, slices, small_enough, staged, with_group, word_hashes
+from .common import column_hashes, in_arrow, keep_or_drop, key_of, mix, raw, slices, small_enough, staged, with_group
 
 WINDOW = 35
 GRAM = 8
@@ -94,25 +94,27 @@ def digest(words: list[bytes]) -> str:
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, text keys, row keys) -> these keys, words, digest and phrases of each text."""
     for b in slices(batches):
         n, sha, found = [], [], []
-        for text in raw(b.column(1)):
-            words = text.split() if text else []
-            n.append(len(words))
-            sha.append(digest(words))
-            found.append(phrases(word_hashes(words)))
+        h, first = column_hashes(b.column(1))
+        for i, text in enumerate(raw(b.column(1))):
+            n.append(int(first[i + 1] - first[i]))
+            sha.append(digest(text.split() if text else []))
+            found.append(phrases(h[first[i] : first[i + 1]]))
         ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
         columns = [np.concatenate([np.empty(0, t), *(f[k].astype(t) for f in found)]) for k, t in enumerate((np.uint64, np.int32, np.int32, np.uint64, np.uint64))]
         parts = pa.StructArray.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], ["anchor", "lo", "hi", "f1", "f2"])
-        yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(n, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(ends, parts)], ["doc_id", "text_hash", "row_hash", "n_words", "sha", "phrases"])
+        yield pa.record_batch([b.column(0), *(b.column(k) for k in (2, 3, 4, 5)), pa.array(n, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(ends, parts)], ["doc_id", "k1", "k2", "r1", "r2", "n_words", "sha", "phrases"])
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, text_hash, spans) -> each span's windows as a list of hashes."""
+    """(text, node, spans) -> each span's windows as a list of hashes."""
     for b in slices(batches):
         anchor, where, lo, times, lists = [], [], [], [], []
-        for text, key, spans in zip(raw(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            sums = Sums(word_hashes(text.split()), _P1)
+        h, first = column_hashes(b.column(0))
+        for i, (key, spans) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            sums = Sums(h[first[i] : first[i + 1]], _P1)
             for s in spans:
                 at = np.arange(s["lo"], s["hi"] + 1)
                 anchor.append(s["anchor"])
@@ -122,11 +124,11 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lists.append(sums.span(at, at + WINDOW).view(np.int64))
         ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
         flat = pa.array(np.concatenate([np.empty(0, np.int64), *lists]))
-        yield pa.record_batch([pa.array(anchor, pa.int64()), pa.array(where, pa.int64()), pa.array(lo, pa.int32()), pa.array(times, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["anchor", "text_hash", "lo", "n", "hashes"])
+        yield pa.record_batch([pa.array(anchor, pa.int64()), pa.array(where, pa.int64()), pa.array(lo, pa.int32()), pa.array(times, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["anchor", "node", "lo", "n", "hashes"])
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, text_hash, spans of (lo, last window or -1, mask)) -> words removed and the digest of the rest."""
+    """(text, node, spans of (lo, last window or -1, mask)) -> words removed and the digest of the rest."""
     for b in slices(batches):
         gone, sha = [], []
         for text, spans in zip(raw(b.column(0)), b.column(2).to_pylist()):
@@ -144,55 +146,61 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.cumsum(step[:-1]) == 0
             gone.append(len(words) - int(keep.sum()))
             sha.append(digest(list(compress(words, keep.tolist()))))
-        yield pa.record_batch([b.column(1), pa.array(gone, pa.int64()), pa.array(sha)], ["text_hash", "n_removed", "kept_sha256"])
+        yield pa.record_batch([b.column(1), pa.array(gone, pa.int64()), pa.array(sha)], ["node", "n_removed", "kept_sha256"])
 
 
 def texts_with(docs: DataFrame, rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(text, text_hash, spans) for each text that spans (text_hash, spans) has. Of copies only one moves: that with the smallest row_hash."""
-    one = staged(rows.select("text_hash", "row_hash").join(spans.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("row_hash").alias("row_hash")).select("row_hash"), "one")
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text").alias("row_hash"))
-    return keep_or_drop(texts, one, "left_semi", "row_hash").drop("row_hash").join(spans, "text_hash").select("text", "text_hash", "spans")
+    """(text, node, spans) for each text that spans (node, spans) has. Of copies only one moves: the row that the text is named after."""
+    one = staged(keep_or_drop(rows.where("row = node").select("r1", "r2", "node"), staged(spans.select("node"), "named"), "left_semi", "node"), "one")
+    texts = docs.select("text", *(k.alias(n) for k, n in zip(key_of("doc_id", "text"), ("r1", "r2"))))
+    found = texts.join(F.broadcast(one) if small_enough(one) else one, ["r1", "r2"]).drop("r1", "r2")
+    return found.join(spans, "node").select("text", "node", "spans")
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): a row for each row of docs; the spans of each text_hash to remove, as (lo, hi, mask)."""
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, row_hash bigint, n_words bigint, sha string, phrases array<struct<anchor:bigint,lo:int,hi:int,f1:bigint,f2:bigint>>"
-    rows = staged(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text").alias("row_hash")).mapInArrow(parse, shape), "parsed")
-    each = rows.select("text_hash", F.explode("phrases").alias("p")).select("text_hash", "p.*")
-    known = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    """(rows, spans): a row for each row of docs, with the node that its text is named after; the spans of each node to remove, as (lo, hi, mask)."""
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 bigint, k2 bigint, r1 bigint, r2 bigint, n_words bigint, sha string, phrases array<struct<anchor:bigint,lo:int,hi:int,f1:bigint,f2:bigint>>"
+    keys = [*key_of("text"), *(k.alias(n) for k, n in zip(key_of("doc_id", "text"), ("r1", "r2")))]
+    parsed = staged(in_arrow(docs.select("doc_id", "text", *keys), parse, shape).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    # texts are told apart by 128 bits; each distinct text is worked on once, and counts as often as it occurs
+    rows = with_group(parsed.drop("phrases"), ["k1", "k2"], [F.min("row").alias("node"), F.count(F.lit(1)).alias("times")], [F.min("node").alias("node"), F.sum("times").alias("times")], by="row")
+    rows = staged(rows.drop("k1", "k2"), "rows")
+    copies = staged(rows.where("row <> node").select("row"), "copies")
+    often = staged(rows.where("row = node and times > 1").select("row", "times"), "often")
+    texts = keep_or_drop(parsed.select("row", "phrases"), copies, "left_anti", "row")
+    texts = texts.join(F.broadcast(often) if small_enough(often) else often, "row", "left")
+    each = texts.select(F.col("row").alias("node"), F.coalesce("times", F.lit(1)).alias("times"), F.explode("phrases").alias("p")).select("node", "times", "p.*")
+    known = each.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     again = staged(each.join(known, "anchor"), "known")
-    distinct = staged(again.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("text_hash")), "distinct")
-    whole = with_group(again, ["anchor", "f1", "f2"], [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")], by="text_hash").where("n > 1")
-    factors = whole.select("text_hash", "lo", "hi", F.lit(0).cast("bigint").alias("mask"))
+    distinct = staged(again.groupBy("anchor", "f1", "f2").agg(F.sum("times").alias("n"), F.min("node").alias("node")), "distinct")
+    whole = with_group(again, ["anchor", "f1", "f2"], [F.sum("times").alias("n")], [F.sum("n").alias("n")], by="node").where("n > 1")
+    factors = whole.select("node", "lo", "hi", F.lit(0).cast("bigint").alias("mask"))
     # boundaries: anchors with several distinct phrases, of which one at least isn't a factor
     blocks = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1").select("anchor", "d")
     open_ = distinct.join(blocks, "anchor")
-    spans = again.join(open_, ["anchor", "f1", "f2", "text_hash"]).groupBy("anchor", "f1", "f2", "text_hash").agg(F.min(F.struct("lo", "hi", "n")).alias("s"))
-    todo = staged(spans.groupBy("text_hash").agg(F.collect_list(F.struct("anchor", "s.lo", "s.hi", "s.n")).alias("spans")), "boundaries")
-    shape = "anchor bigint, text_hash bigint, lo int, n bigint, hashes array<bigint>"
-    lists = staged(texts_with(docs, rows, todo).mapInArrow(windows, shape), "windows")
+    spans = again.join(open_, ["anchor", "f1", "f2", "node"]).groupBy("anchor", "f1", "f2", "node").agg(F.min(F.struct("lo", "hi", "n")).alias("s"))
+    todo = staged(spans.groupBy("node").agg(F.collect_list(F.struct("anchor", "s.lo", "s.hi", "s.n")).alias("spans")), "boundaries")
+    lists = staged(in_arrow(texts_with(docs, rows, todo), windows, "anchor bigint, node bigint, lo int, n bigint, hashes array<bigint>"), "windows")
     hot = staged(blocks.where(F.col("d") > HOT).select("anchor"), "hot")
     is_hot = bool(hot.limit(1).count())
     usual = keep_or_drop(lists, hot, "left_anti", "anchor") if is_hot else lists
     item = F.posexplode("hashes").alias("k", "w")
     # one exchange, by anchor; the window and the aggregate after it need no other
-    parts = usual.repartition("anchor").select("anchor", "text_hash", "lo", "n", item)
-    from pyspark.sql import Window
-
+    parts = usual.repartition("anchor").select("anchor", "node", "lo", "n", item)
     counted = parts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("anchor", "w"))).where("c > 1 and n = 1")
     bit = F.expr("shiftleft(1L, k)")
-    masks = counted.groupBy("anchor", "text_hash", "lo").agg(F.sum(bit).alias("mask"))
+    masks = counted.groupBy("anchor", "node", "lo").agg(F.sum(bit).alias("mask"))
     if is_hot:
-        far = keep_or_drop(lists, hot, "left_semi", "anchor").select("anchor", "text_hash", "lo", "n", item)
-        far = with_group(far, ["anchor", "w"], [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("c")], by="text_hash").where("c > 1 and n = 1")
-        masks = masks.unionByName(far.groupBy("anchor", "text_hash", "lo").agg(F.sum(bit).alias("mask")))
-    all_spans = factors.unionByName(masks.select("text_hash", "lo", F.lit(-1).alias("hi"), "mask")).distinct()
-    return rows, staged(all_spans.groupBy("text_hash").agg(F.collect_list(F.struct("lo", "hi", "mask")).alias("spans")), "spans")
+        far = keep_or_drop(lists, hot, "left_semi", "anchor").select("anchor", "node", "lo", "n", item)
+        far = with_group(far, ["anchor", "w"], [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("c")], by="node").where("c > 1 and n = 1")
+        masks = masks.unionByName(far.groupBy("anchor", "node", "lo").agg(F.sum(bit).alias("mask")))
+    all_spans = factors.unionByName(masks.select("node", "lo", F.lit(-1).alias("hi"), "mask")).distinct()
+    return rows, staged(all_spans.groupBy("node").agg(F.collect_list(F.struct("lo", "hi", "mask")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     rows, spans = repeated(docs)
-    done = staged(texts_with(docs, rows, spans).mapInArrow(remove, "text_hash bigint, n_removed bigint, kept_sha256 string").dropDuplicates(["text_hash"]), "removed")
-    out = rows.select("doc_id", "text_hash", "n_words", "sha").join(F.broadcast(done) if small_enough(done, 200_000) else done, "text_hash", "left")
+    done = staged(in_arrow(texts_with(docs, rows, spans), remove, "node bigint, n_removed bigint, kept_sha256 string").dropDuplicates(["node"]), "removed")
+    out = rows.select("doc_id", "node", "n_words", "sha").join(F.broadcast(done) if small_enough(done, 200_000) else done, "node", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
