@@ -34,6 +34,8 @@ class Spark:
     def size(self, a): return f"cast(size({a}) as bigint)"
     def at(self, a, i): return f"try_element_at({a}, cast({i} as int))"
     def slice(self, a, i, n): return f"slice({a}, {i}, {n})"
+    def after_first(self, a): return f"slice({a}, 2, greatest(size({a}), 1))"
+    def numbers(self, n): return f"(SELECT id AS k FROM range({n}))"
     def append(self, a, x): return f"array_append({a}, {x})"
     def join(self, a, sep): return f"array_join({a}, {sep})"
     def has(self, s, part): return f"contains({s}, {part})"
@@ -82,6 +84,8 @@ class Duck:
     def size(self, a): return f"len({a})::BIGINT"
     def at(self, a, i): return f"({a})[{i}]"
     def slice(self, a, i, n): return f"({a})[{i}:({i}) + ({n}) - 1]"
+    def after_first(self, a): return f"({a})[2:]"
+    def numbers(self, n): return f"(SELECT range AS k FROM range({n}))"
     def append(self, a, x): return f"list_append({a}, {x})"
     def join(self, a, sep): return f"coalesce(array_to_string({a}, {sep}), '')"
     def has(self, s, part): return f"contains({s}, {part})"

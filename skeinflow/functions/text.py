@@ -128,7 +128,7 @@ def third_person(d, t, subject="the user"):
 def needs_wide(d, t):
     raw = d.re_all(t, r"[\p{L}\p{N}_]+")
     low = d.re_all(f"lower({t})", r"[\p{L}\p{N}_]+")
-    entity = d.any(d.slice(raw, 2, 1000), "x", rf"{d.re_test('x', r'^[A-Z]')} AND lower(x) NOT IN ('i')")
+    entity = d.any(d.after_first(raw), "x", rf"{d.re_test('x', r'^[A-Z]')} AND lower(x) NOT IN ('i')")
     direct = f"(coalesce({d.at(low, 1)}, '') IN ({quoted(V.WH)}) AND ({entity} OR {d.has(t, possessive(d))}))"
     script = " OR ".join(d.starts("x", f"'{v}'") for v in V.SCRIPT_VERBS)
     return f"(NOT {direct} AND {d.any(low, 'x', f'x IN ({quoted(V.PRONOUNS + V.CONSEQUENCE + V.HYPERNYMS)}) OR {script}')})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import regex
@@ -140,3 +141,25 @@ def extract(text: str | None, subject: str = "the user", address: bool = True) -
         if len(fact) >= C.min_chars:
             out.append(fact)
     return out
+
+
+def said(role: str | None, text: str | None) -> list[str]:
+    """The facts of a turn; their subject is the user or the speaker's name."""
+    who = (role or "").strip()
+    return extract(text, "the user" if who.lower() in ("user", "you", "") else who)
+
+
+def importance(text: str, hits: int = 0) -> float:
+    """1 to 5, as functions.text.importance."""
+    stems = {V.stem(w) for w in _TOKEN(text.lower())}
+    tier = next((k for k, ws in V.TIERS if stems & set(ws)), 1.0)
+    value = tier - (0.0 if has_payload(text) else 0.5) + (1.0 if stems & set(V.FLAGGED) else 0.0) + min(1.0, 0.4 * math.log(1 + hits))
+    return max(1.0, min(5.0, value))
+
+
+_CAPITAL = regex.compile(r"""[^.!?"“\s][,;:]?\s+([A-Z]\p{L}{2,})""")
+
+
+def capitals(text: str) -> list[str]:
+    """Capitalised words of 3 letters or more, neither at the start nor after . ! ? or a quotation mark."""
+    return _CAPITAL.findall(text)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
-from ..sources.tables import register
+from ..sources.tables import run_sql
 
 
 @dataclass(frozen=True)
@@ -18,8 +18,7 @@ class Plan:
     sql: Callable
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir, self.tables)
-        return spark.sql(self.sql(SPARK))
+        return run_sql(spark, sf_dir, self.sql(SPARK))
 
     def oracle(self) -> str:
         return self.sql(DUCK)

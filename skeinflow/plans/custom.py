@@ -7,14 +7,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..config import DEFAULT as C
 from ..functions.dialect import DUCK, SPARK
 from ..operators import rules
 from ..operators.extract import extract_knots, per_text
-from ..sources.tables import register, table
-from ..streaming.observe import run_once, work_dir
+from ..sources.tables import SHARED, run_sql, work_dir
+from ..streaming.observe import drain, keyed, previous_turn, run_once, running_names, stream_of
 from . import fixtures as X
 from .catalog import PLANS, plan
-from .store import both, descendants, history
+from .projection import rp_gazetteer
+from .retrieve import q_hits
+from .store import descendants, st_index_terms, store, win_burst
 
 
 @dataclass(frozen=True)
@@ -55,33 +58,57 @@ for _name, _texts, _rule, _kind, _want in (("str_trim_tail", TAILS, rules.trim_t
 
 
 
-def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-1, k, r, t) for k, (r, t) in enumerate(X.CONVERSATION)], "conv_id bigint, turn bigint, role string, text string")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+#: The table's prose holds no fact, so what is extracted from all turns is what was written down by hand.
+PLANS["ext_extract_turns"] = Custom("ext_extract_turns", lambda spark, sf_dir: extract_knots(run_sql(spark, sf_dir, f"SELECT * FROM {X.turns(SPARK)} t")),
+                                    f"SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, pos::BIGINT AS pos, text AS knot FROM {DUCK.values(X.rows(DUCK, X.FACTS), 'conv_id, turn, pos, text')} f")
 
 
-PLANS["ext_extract_turns"] = Custom("ext_extract_turns", lambda spark, sf_dir: extract_knots(all_turns(spark, sf_dir)))
+def own_folder(spark: SparkSession) -> str:
+    folder = f"{work_dir(spark)}/turns-{uuid.uuid4().hex}"
+    spark.sql(f"SELECT * FROM {X.own_turns(SPARK)} t").write.parquet(folder)
+    return folder
 
 
-def live_sql(d) -> str:
-    return f"WITH {history(d, 'conversations')} SELECT k.conv_id, o.text FROM killers k JOIN occ o ON k.conv_id = o.conv_id AND k.n = o.n WHERE killer IS NULL"
+def live(spark: SparkSession, sf_dir: str, most: int = C.max_entries) -> DataFrame:
+    """The live facts of two streams: the table's conversations, added to, and the observed ones, whose facts are extracted."""
+    added, seen = run_once(spark, f"{sf_dir}/conversations.parquet", most), run_once(spark, own_folder(spark), most, extracting=True)
+    return added.unionByName(seen).select("conv_id", "text")
 
 
-#: The stream's live facts are those of the batch form, as long as no memory is full.
-PLANS["ss_observe"] = Custom("ss_observe", lambda spark, sf_dir: run_once(spark, f"{sf_dir}/conversations.parquet").select("conv_id", "text"), live_sql(DUCK))
+def stepped(make, schema):
+    """A query that runs a keyed step over both streams; make(extracting) gives the step."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sources = ((f"{sf_dir}/conversations.parquet", False), (own_folder(spark), True))
+        one, two = (drain(keyed(stream_of(spark, at), make(extracting), schema)).drop("batch") for at, extracting in sources)
+        return one.unionByName(two)
 
+    return run
+
+
+#: The streams' live facts are those of the batch form, as long as no memory is full.
+PLANS["ss_observe"] = Custom("ss_observe", live, f"WITH {store(DUCK)} SELECT conv_id, text FROM knots")
+#: Memories of ten facts; what goes depends on what was there at each addition, so tests compare with a plain loop.
+PLANS["ss_bounded"] = Custom("ss_bounded", lambda spark, sf_dir: live(spark, sf_dir, 10))
+PLANS["ss_last_turn"] = Custom("ss_last_turn", stepped(previous_turn, "before bigint"), f"WITH {store(DUCK)} SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM occ) t")
+PLANS["ss_gazetteer"] = Custom("ss_gazetteer", stepped(lambda extracting: running_names, "name string, n bigint"), rp_gazetteer(DUCK))
+
+
+def streamed_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive as a stream; how many are near each is worked out when the store is read, as later ones count too."""
+    rows = drain(stream_of(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"))
+    rows.createOrReplaceTempView("skeinflow_arrived")
+    return spark.sql(win_burst(SPARK).replace("FROM events", "FROM skeinflow_arrived"))
+
+
+PLANS["ss_burst"] = Custom("ss_burst", streamed_burst, win_burst(DUCK))
 
 
 def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recursion runs over a written table of who replaced whom, so that its steps don't work that out again."""
-    register(spark, sf_dir, ["conversations"])
-    at = f"{work_dir(spark)}/killers-{uuid.uuid4().hex}"
-    spark.sql(f"WITH {history(SPARK, both(SPARK))} SELECT conv_id, n, killer FROM killers").write.parquet(at)
-    spark.read.parquet(at).createOrReplaceTempView("skeinflow_killers")
-    return spark.sql(f"WITH RECURSIVE {descendants(SPARK, 'skeinflow_killers')}")
+    """The recursion runs over the written table of who replaced whom, so that its steps don't work that out again."""
+    return run_sql(spark, sf_dir, f"WITH RECURSIVE {descendants(SPARK, 'skeinflow_s_killers')}")
 
 
-PLANS["st_inherit"] = Custom("st_inherit", inherited, f"WITH RECURSIVE {history(DUCK, both(DUCK))}, {descendants(DUCK)}")
+PLANS["st_inherit"] = Custom("st_inherit", inherited, f"WITH RECURSIVE {store(DUCK)}, {descendants(DUCK)}")
 
 FILES = ['{"v":3,"max":500,"o":90,"seq":3,"k":[["the user has a dog",1,0,12.5,["walk"],2],["bad"],["the user lives in Ghent",3,1,13.25,[],0]]}', '{"v":2,"max":60,"o":40,"seq":2,"k":[["old format fact",1,4,1.5],["old format fact",2,0,1.75]]}', '{"e":["first fact here","second fact here"],"o":7}', "not a memory"]
 
@@ -101,12 +128,27 @@ def src_json(d):
     return f"SELECT CAST(file AS BIGINT) AS file, CAST(v AS BIGINT) AS v, text, CAST(seq AS BIGINT) AS seq, CAST(hits AS BIGINT) AS hits, CAST(reinforced AS BIGINT) AS reinforced FROM (SELECT *, row_number() OVER (PARTITION BY file, text ORDER BY pos) AS r FROM ({rows}) x WHERE seq IS NOT NULL) y WHERE r = 1"
 
 
-@plan("conversations")
-def snk_serialize(d):
-    """Each conversation's memory as one JSON document."""
-    from .store import knots
+def entries(d):
+    """The store's CTEs, and entries(conv_id, seq, hits, ts, idx, reinforced, text): what a memory file has of each live fact. ts is the turn, as the table has no clock."""
+    up = "SELECT conv_id, n AS node, killer AS anc FROM killers WHERE killer IS NOT NULL UNION ALL SELECT u.conv_id, u.node, k.killer FROM up u JOIN killers k ON u.conv_id = k.conv_id AND u.anc = k.n WHERE k.killer IS NOT NULL"
+    ties = f"up AS ({up}), gained AS (SELECT conv_id, anc AS n, count(*) AS reinforced FROM up GROUP BY conv_id, anc)" if d.name == "duckdb" else "gained AS (SELECT conv_id, n, reinforced FROM skeinflow_s_reinforced)"
+    hidden = f"SELECT conv_id, seq, {d.collect('token', 'token')} AS idx FROM ({st_index_terms(d)}) i GROUP BY conv_id, seq"
+    read = f"SELECT conv_id, seq, hits FROM ({q_hits(d)}) h"
+    rows = f"SELECT k.conv_id, k.seq, coalesce(h.hits, 0) AS hits, CAST(k.turn AS DOUBLE) AS ts, coalesce(i.idx, {d.empty()}) AS idx, coalesce(g.reinforced, 0) AS reinforced, k.text FROM knots k LEFT JOIN ({read}) h ON k.conv_id = h.conv_id AND k.seq = h.seq LEFT JOIN ({hidden}) i ON k.conv_id = i.conv_id AND k.seq = i.seq LEFT JOIN gained g ON k.conv_id = g.conv_id AND k.seq = g.n"
+    return f"{store(d)}, {ties}, entries AS ({rows})"
+
+
+SHARED["skeinflow_s_reinforced"] = inherited
+
+
+def serialized(d):
+    """Each conversation's memory as one JSON document of version 3."""
+    quoted = "substring(to_json(array(X)), 2, length(to_json(array(X))) - 2)" if d.name == "spark" else "to_json(X)::VARCHAR"
+    words = f"concat('[', {d.join(d.transform('idx', 'z', quoted.replace('X', 'z')), chr(39) + ',' + chr(39))}, ']')"
+    entry = f"concat('[', {quoted.replace('X', 'text')}, ',', CAST(seq AS STRING), ',', CAST(hits AS STRING), ',', CAST(CAST(ts AS BIGINT) AS STRING), '.0,', {words}, ',', CAST(reinforced AS STRING), ']')"
+    seen = f"SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS observed FROM {X.turns(d)} t GROUP BY conv_id"
+    docs = f"SELECT conv_id, max(seq) AS last, {d.collect(entry, 'seq')} AS items FROM entries GROUP BY conv_id"
+    return f"SELECT e.conv_id, concat('{{\"v\":3,\"max\":{C.max_entries},\"o\":', CAST(observed AS STRING), ',\"seq\":', CAST(last AS STRING), ',\"k\":[', {d.join('items', chr(39) + ',' + chr(39))}, ']}}') AS doc FROM ({docs}) e JOIN ({seen}) o ON e.conv_id = o.conv_id"
 
-    quoted = "substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)" if d.name == "spark" else "to_json(text)::VARCHAR"
-    entry = f"concat('[', {quoted}, ',', CAST(seq AS STRING), ',0]')"
-    return f"WITH {knots(d)} SELECT conv_id, concat('{{\"v\":3,\"k\":[', {d.join(d.collect(entry, 'seq'), chr(39) + ',' + chr(39))}, ']}}') AS doc FROM knots GROUP BY conv_id"
 
+PLANS["snk_serialize"] = Custom("snk_serialize", lambda spark, sf_dir: run_sql(spark, sf_dir, f"WITH {entries(SPARK)} {serialized(SPARK)}"), f"WITH RECURSIVE {entries(DUCK)} {serialized(DUCK)}")

@@ -12,20 +12,16 @@ from ..config import DEFAULT as C
 from ..functions.dialect import DUCK
 from ..operators.judge import judge
 from ..sources import memory
-from ..sources.tables import table
-from ..streaming.observe import work_dir
+from ..sources.tables import table, work_dir
 from . import fixtures as X
 from .catalog import PLANS, Plan, plan
-from .custom import Custom, src_json
-from .graph import answers, nearest
-from .projection import rp_gazetteer
+from .custom import FILES, Custom, entries, src_json
+from .graph import answers, win_related, worded
 from .retrieve import q_pack
-from .store import knots, ss_tumbling, win_burst
+from .store import scaled, ss_tumbling
 
 for _v in (1, 2, 3):
     PLANS[f"src_json_v{_v}"] = Plan(f"src_json_v{_v}", (), (lambda v: lambda d: f"SELECT * FROM ({src_json(d)}) j WHERE v = {v}")(_v))
-PLANS["rp_known"] = PLANS["ss_gazetteer"] = Plan("rp_known", ("conversations",), rp_gazetteer)
-PLANS["ss_burst"] = Plan("ss_burst", ("events",), win_burst)
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +30,19 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.load(spark, at)
 
 
-PLANS["snk_save"] = Custom("snk_save", round_trip, f"WITH {knots(DUCK)} SELECT conv_id, seq, text FROM knots")
-PLANS["src_load"] = Custom("src_load", lambda spark, sf_dir: memory.load(spark, f"{work_dir(spark)}/nothing-here"), "SELECT 0::BIGINT AS conv_id, 0::BIGINT AS seq, '' AS text WHERE FALSE")
+SAVED = "SELECT conv_id, seq, hits, ts, idx, reinforced, text FROM entries"
+PLANS["snk_save"] = Custom("snk_save", round_trip, f"WITH RECURSIVE {entries(DUCK)} {SAVED}")
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all three versions, one of which isn't a memory, and a path that isn't there."""
+    at = f"{work_dir(spark)}/memory-{uuid.uuid4().hex}"
+    memory.save(spark.createDataFrame(list(enumerate(FILES)), "conv_id bigint, doc string"), at)
+    return memory.load(spark, at).unionByName(memory.load(spark, f"{at}-missing"))
+
+
+LOADED = [(0, 1, 0, 12.5, ["walk"], 2, "the user has a dog"), (0, 3, 1, 13.25, [], 0, "the user lives in Ghent"), (1, 1, 4, 1.5, [], 0, "old format fact"), (2, 1, 0, 0.0, [], 0, "first fact here"), (2, 2, 0, 0.0, [], 0, "second fact here")]
+PLANS["src_load"] = Custom("src_load", loaded, f"SELECT conv_id::BIGINT AS conv_id, seq::BIGINT AS seq, hits::BIGINT AS hits, ts::DOUBLE AS ts, idx, reinforced::BIGINT AS reinforced, text FROM {DUCK.values(X.rows(DUCK, LOADED), 'conv_id, seq, hits, ts, idx, reinforced, text')} g")
 
 
 def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,33 +54,72 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLANS["snk_capture"] = Custom("snk_capture", captured, q_pack(DUCK))
 
 
-@plan("conversations")
-def flt_clear(d): return f"WITH {knots(d)} SELECT count(*) AS n FROM knots WHERE FALSE"
+SEEDS, TURNS = (7, 11, 19), 800
 
 
-@plan("conversations")
-def st_drop(d): return f"WITH {knots(d)} SELECT k.conv_id, count(*) AS n FROM knots k WHERE seq % 3 <> 0 GROUP BY k.conv_id"
+@plan()
+def src_synth_conv(d):
+    """Planted facts among decoys and filler: a conversation of 800 turns for each seed."""
+    kinds = {"fact": ["the boat is named Aurora", "the code is 4417", "Priya moved to Oslo"], "decoy": ["the boat was nearly named Borealis", "an old code was 1234", "Priya once thought of Lima"],
+             "filler": ["it was a slow day", "we talked for a while", "the kettle boiled", "nothing much happened", "someone laughed"]}
+    said = d.values(", ".join(f"('{kind}', {k}, {len(ts)}, '{t}')" for kind, ts in kinds.items() for k, t in enumerate(ts)), "kind, i, n, t")
+    seeds = d.values(", ".join(f"({s})" for s in SEEDS), "seed")
+    mixed = "((k * 7919 + seed * 104729) % 10007)"
+    turns = f"SELECT CAST(seed AS BIGINT) AS seed, CAST(k AS BIGINT) AS turn, {mixed} AS m, CASE WHEN {mixed} % 100 < 3 THEN 'fact' WHEN {mixed} % 100 < 13 THEN 'decoy' ELSE 'filler' END AS kind FROM {d.numbers(TURNS)} a CROSS JOIN {seeds} s"
+    return f"SELECT seed, turn, g.kind, t AS text FROM ({turns}) x JOIN {said} g ON x.kind = g.kind AND (x.m + x.turn) % g.n = g.i"
 
 
 @plan()
-def src_synth_conv(d):
-    """Planted facts among decoys and filler, from a seed."""
-    facts, filler = (d.values(", ".join(f"({k}, '{t}')" for k, t in enumerate(ts)), "i, t") for ts in (["the boat is named Aurora", "the code is 4417", "Priya moved to Oslo"], ["it was a slow day", "we talked for a while", "the kettle boiled", "nothing much happened", "someone laughed"]))
-    turns = d.values(", ".join(f"({k})" for k in range(60)), "turn")
-    return f"SELECT CAST(turn AS BIGINT) AS turn, CASE WHEN turn % 20 = 7 THEN f.t ELSE g.t END AS text FROM {turns} n JOIN {facts} f ON f.i = (turn * 13 + 5) % 3 JOIN {filler} g ON g.i = (turn * 31 + 2) % 5"
+def agg_summary_seeds(d):
+    """By kind of turn: mean, least and most over the seeds, and each seed's number."""
+    per_seed = f"SELECT kind, seed, count(*) AS n FROM ({src_synth_conv(d)}) c GROUP BY kind, seed"
+    return f"SELECT kind, {scaled('avg(n)', 1000)} AS mean, min(n) AS low, max(n) AS high, {d.collect('n', 'seed')} AS by_seed FROM ({per_seed}) p GROUP BY kind"
 
 
-WEBS = '{"links":{"dog":["walk","bark"],"sea":["boat"]}}'
+WEBS = ['{"links":{"dog":["walk","bark"],"sea":["boat"]}}', '{"cat":["purr"]}', "not a web"]
 
 
 @plan()
 def src_web_load(d):
+    """Webs of words, with or without the outer key; what isn't one is left out."""
+    docs = d.values(X.rows(d, list(enumerate(WEBS))), "file, doc")
     if d.name == "spark":
-        return f"SELECT word, CAST(pos AS BIGINT) AS pos, other FROM (SELECT word, posexplode(others) AS (pos, other) FROM (SELECT explode(from_json('{WEBS}', 'links MAP<STRING, ARRAY<STRING>>').links) AS (word, others)) a) b"
-    return f"SELECT word, unnest(range(len(others))) AS pos, unnest(others) AS other FROM (SELECT word, from_json(m->word, '[\"VARCHAR\"]') AS others FROM (SELECT ('{WEBS}'::JSON)->'$.links' AS m, unnest(json_keys(('{WEBS}'::JSON)->'$.links')) AS word) a) b"
+        maps = f"SELECT file, coalesce(from_json(doc, 'links MAP<STRING, ARRAY<STRING>>').links, from_json(doc, 'MAP<STRING, ARRAY<STRING>>')) AS m FROM {docs} w"
+        return f"SELECT CAST(file AS BIGINT) AS file, word, CAST(pos AS BIGINT) AS pos, other FROM (SELECT file, word, posexplode(others) AS (pos, other) FROM (SELECT file, explode(m) AS (word, others) FROM ({maps}) a) b) c"
+    maps = f"SELECT file, CASE WHEN json_exists(doc::JSON, '$.links') THEN (doc::JSON)->'$.links' ELSE doc::JSON END AS m FROM {docs} w WHERE json_valid(doc)"
+    return f"SELECT file::BIGINT AS file, word, unnest(range(len(others))) AS pos, unnest(others) AS other FROM (SELECT file, word, from_json(m->word, '[\"VARCHAR\"]') AS others FROM (SELECT file, m, unnest(json_keys(m)) AS word FROM ({maps}) a) b) c"
+
+
+def weave_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as weave files and read back."""
+    at = f"{work_dir(spark)}/weave-{uuid.uuid4().hex}"
+    memory.save_weave(PLANS["win_related"].run(spark, sf_dir), at)
+    return memory.load_weave(spark, at)
 
 
-PLANS["src_weave_load"] = PLANS["snk_web_save"] = Plan("src_weave_load", (), src_web_load)
+PLANS["snk_weave_save"] = Custom("snk_weave_save", weave_saved, win_related(DUCK))
+WEAVE = ['{"v":1,"r":{"dog":[["walk",0.75],["bark",0.5]]}}', "broken", '{"v":1,"r":{"sea":[["boat",0.25]],"sun":[]}}']
+
+
+def weave_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{work_dir(spark)}/weave-{uuid.uuid4().hex}"
+    spark.createDataFrame([(x,) for x in WEAVE], "value string").write.text(at)
+    return memory.load_weave(spark, at)
+
+
+PLANS["src_weave_load"] = Custom("src_weave_load", weave_loaded, "SELECT * FROM (VALUES ('dog', 'walk', 7500::BIGINT, 1::BIGINT), ('dog', 'bark', 5000, 2), ('sea', 'boat', 2500, 1)) v(word, other, strength, k)")
+
+
+def web_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A web of each word's three nearest, written in two goes: the second one does only the words that the first hasn't."""
+    at = f"{work_dir(spark)}/web-{uuid.uuid4().hex}"
+    links = PLANS["win_related"].run(spark, sf_dir).where("k <= 3").select("word", (F.col("k") - 1).cast("bigint").alias("pos"), "other")
+    memory.extend_web(links.where("length(word) % 2 = 0"), at)
+    memory.extend_web(links, at)
+    return memory.load_web(spark, at)
+
+
+PLANS["snk_web_save"] = Custom("snk_web_save", web_saved, f"SELECT word, (k - 1)::BIGINT AS pos, other FROM ({win_related(DUCK)}) r WHERE k <= 3")
 
 
 @plan()
@@ -87,18 +133,20 @@ def agg_noise(d):
 def ev_target_idx(d): return f"WITH {answers(d)} SELECT a.id, f.seq FROM asked a JOIN facts f ON {d.any('a.keys', 'k', d.has('lower(f.fact)', 'k'))}"
 
 
-@plan("embeddings")
+@plan("embeddings", "documents")
 def ev_run_score(d):
-    """Same-label neighbours among the first six, for five weights of the label's bonus."""
+    """Same-label neighbours among the first six, for five weights of the words in common."""
     steps = d.values("(0), (25), (50), (100), (200)", "lambda_pct")
-    ranked = f"SELECT lambda_pct, q, ql = vl AS hit, row_number() OVER (PARTITION BY lambda_pct, q ORDER BY cosine + CASE WHEN ql = vl THEN lambda_pct * 10000 ELSE 0 END DESC, v) AS k FROM near JOIN {steps} s ON lambda_pct >= 0"
-    return f"WITH {nearest(d, 30)} SELECT lambda_pct, {d.count_if('hit')} AS hits, count(*) AS n FROM ({ranked}) r WHERE k <= {C.bridge_k} GROUP BY lambda_pct"
+    ranked = f"SELECT lambda_pct, q, ql = vl AS hit, row_number() OVER (PARTITION BY lambda_pct, q ORDER BY cosine + CAST(floor(lambda_pct * jaccard / 100) AS BIGINT) DESC, v) AS k FROM near CROSS JOIN {steps} s"
+    return f"WITH {worded(d, 30)} SELECT lambda_pct, {d.count_if('hit')} AS hits, count(*) AS n FROM ({ranked}) r WHERE k <= {C.bridge_k} GROUP BY lambda_pct"
 
 
 @plan()
 def ev_measure(d):
-    calls = d.values("('pack', 1, 0, 1), ('pack', 2, 0, 0), ('full', 1, 1, 0), ('full', 2, 1, 0)", "mode, q, failed, hit")
-    return f"SELECT mode, CASE WHEN sum(failed) = count(*) THEN 'VOID' ELSE concat(CAST(sum(hit) AS STRING), '/', CAST(count(*) AS STRING)) END AS score FROM {calls} c GROUP BY mode"
+    """Hits of each budget's packs, or VOID where every call failed (an empty pack)."""
+    def one(b): return f"SELECT {b} AS budget, CASE WHEN sum(failed) = count(*) THEN 'VOID' ELSE concat(CAST(sum(hits) AS STRING), '/', CAST(count(*) AS STRING)) END AS score FROM (WITH {answers(d, b)} SELECT CASE WHEN coalesce(p.pack, '') = '' THEN 1 ELSE 0 END AS failed, CASE WHEN hit THEN 1 ELSE 0 END AS hits FROM judged j LEFT JOIN packs p ON j.id = p.id WHERE j.id = j.j) m{b}"
+
+    return " UNION ALL ".join(map(one, (0, 30, 60, 300)))
 
 
 def late(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +156,7 @@ def late(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = events.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 hour"), "event_type").count()
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.start").alias("hour"), "event_type", F.col("count").alias("n"), F.lit(number).alias("batch")).write.mode("append").parquet(f"{at}/rows")
+        batch.select(F.col("window.start").alias("hour"), "event_type", F.col("count").alias("n")).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")  # a batch that is tried again replaces what it wrote
 
     counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{at}/rows")

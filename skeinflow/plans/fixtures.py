@@ -18,6 +18,19 @@ CONVERSATION = [
     ("user", "I live in Antwerp."), ("assistant", "Noted."), ("user", "My sister Marta has a dog named Rex. I work as a nurse."), ("user", "I live in Ghent now."), ("assistant", "Good."),
     ("user", "The project deadline is on Friday."), ("user", "I live in Antwerp."), ("user", "The project deadline is on Monday."), ("user", "My email account is marta-7."), ("user", "I play chess with my sister."),
 ]
+#: Conversations that are observed, so their facts are extracted; ids below zero. The first is the one above, with a question at its end.
+OBSERVED = {
+    -1: [*CONVERSATION, ("user", "What is the name of my sister's dog?")],
+    -2: [("user", "My locker code is 4417 and I keep it secret."), ("Carmen", "I grew up in Lisbon. You should visit Lisbon."), ("user", "We deploy from the heron-nest cluster on Friday!"), ("Carmen", "I have two brothers, Tomas and Rui."),
+         ("user", "The code for my locker is 9023 now."), ("user", "Do you remember where Carmen grew up?")],
+    -3: [("user", "I am allergic to peanuts."), ("assistant", "Thanks, noted."), ("user", "My flight KL1234 leaves on Monday; my boss is Priya."), ("user", "Something else entirely?")],
+    -4: [("user", "What now?"), ("assistant", "Nothing."), ("user", "And then?")],
+}
+#: Their facts by hand: (conv_id, turn, place in the turn, text).
+FACTS = [(-1, 0, 0, "the user lives in Antwerp"), (-1, 2, 0, "the user's sister Marta has a dog named Rex"), (-1, 2, 1, "the user works as a nurse"), (-1, 3, 0, "the user lives in Ghent now"), (-1, 5, 0, "The project deadline is on Friday"),
+         (-1, 6, 0, "the user lives in Antwerp"), (-1, 7, 0, "The project deadline is on Monday"), (-1, 8, 0, "the user's email account is marta-7"), (-1, 9, 0, "the user plays chess with the user's sister"),
+         (-2, 0, 0, "the user's locker code is 4417"), (-2, 1, 0, "Carmen grew up in Lisbon"), (-2, 2, 0, "the team deploy from the heron-nest cluster on Friday"), (-2, 3, 0, "Carmen has two brothers, Tomas"),
+         (-2, 4, 0, "The code for the user's locker is 9023 now"), (-3, 0, 0, "the user is allergic to peanuts"), (-3, 2, 0, "the user's flight KL1234 leaves on Monday; the user's boss is Priya")]
 QUESTIONS = [(1, "Where does the user live?", ["antwerp", "ghent"], "direct"), (2, "What is the name of the pet?", ["rex"], "hypernym"), (3, "When is the deadline?", ["monday", "friday"], "direct"), (4, "Who repairs the boat?", ["nobody"], "absent"),
              (5, "Does the user have a hobby?", ["chess"], "hypernym"), (6, "How do I reach the user?", ["email"], "consequence")]
 
@@ -40,5 +53,11 @@ def texts(d) -> str:
 
 
 def own_turns(d) -> str:
-    """(conv_id, turn, role, text) of the conversation above."""
-    return f"(SELECT CAST(1 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM {d.values(rows(d, [(k, r, t) for k, (r, t) in enumerate(CONVERSATION)]), 'turn, role, text')} o)"
+    """(conv_id, turn, role, text) of the conversations that are observed."""
+    own = d.values(rows(d, [(c, k, r, t) for c, turns in OBSERVED.items() for k, (r, t) in enumerate(turns)]), "conv_id, turn, role, text")
+    return f"(SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM {own} o)"
+
+
+def turns(d) -> str:
+    """(conv_id, turn, role, text) of all conversations: those of the table, whose sentences are added as they are, and those that are observed."""
+    return f"(SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations UNION ALL SELECT * FROM {own_turns(d)} w)"

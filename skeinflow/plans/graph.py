@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from ..config import DEFAULT as C
 from ..functions import text as T
+from ..sources.tables import shared
 from . import fixtures as X
 from .catalog import PLANS, Plan, plan
-from .retrieve import fold, joined, packed, queries, scores
-from .store import history, index, knots, scaled
+from .retrieve import blank, fold, importances, joined, kept, memory, packed, queries, reserve, scores
+from .store import dropped, index, knots, scaled, store
 
 
 def cords(d):
@@ -28,7 +29,6 @@ def g_adjacent(d): return f"WITH {knots(d)}, {cords(d)} SELECT x.conv_id, x.seq
 
 
 PLANS["win_adjacent"] = Plan("win_adjacent", ("conversations",), g_adjacent)
-PLANS["ss_last_turn"] = Plan("ss_last_turn", ("conversations",), g_adjacent)
 
 
 @plan("conversations")
@@ -36,13 +36,16 @@ def g_tie_max(d): return f"WITH {knots(d)}, {cords(d)} SELECT conv_id, a, b, {sc
 
 
 @plan("conversations")
-def g_cut(d): return f"WITH {knots(d)}, {cords(d)} SELECT c.conv_id, a, b FROM cords c JOIN knots k ON c.conv_id = k.conv_id AND c.a = k.seq JOIN knots l ON c.conv_id = l.conv_id AND c.b = l.seq WHERE length(k.text) > 40 AND length(l.text) > 40"
+def g_cut(d):
+    """The cords that are left when facts were dropped: those of whose ends neither is gone."""
+    gone = "SELECT c.conv_id, a, b FROM cords c LEFT JOIN forgotten f ON c.conv_id = f.conv_id AND (c.a = f.seq OR c.b = f.seq) WHERE f.seq IS NULL"
+    return f"WITH {knots(d)}, {cords(d)}, {dropped(d)} {gone}"
 
 
 @plan("conversations")
 def g_revision(d):
     """The opt-in cord between a fact and one it replaced."""
-    return f"WITH {history(d, X.own_turns(d))} SELECT conv_id, n AS a, killer AS b, 850 AS weight FROM killers WHERE killer IS NOT NULL"
+    return f"WITH {store(d)} SELECT conv_id, n AS a, killer AS b, 850 AS weight FROM killers WHERE killer IS NOT NULL"
 
 
 @plan("conversations")
@@ -58,45 +61,72 @@ two AS (SELECT o.conv_id, w.b AS seq, max(o.strength * w.weight) AS strength FRO
 reached AS (SELECT u.conv_id, u.seq, max(strength) AS strength FROM (SELECT * FROM one UNION ALL SELECT * FROM two) u LEFT JOIN seeds s ON u.conv_id = s.conv_id AND u.seq = s.seq WHERE s.seq IS NULL GROUP BY u.conv_id, u.seq)"""
 
 
-TOP = "SELECT conv_id, seq FROM scored WHERE r = 1"
+def of_texts(d, lines):
+    """(conv_id, seq, text) of the facts whose texts are listed in (conv_id, lines); a text is once in a memory."""
+    return f"SELECT k.conv_id, k.seq, k.text FROM knots k JOIN (SELECT conv_id, {d.explode('lines', 'line')} FROM ({lines}) l) i ON k.conv_id = i.conv_id AND k.text = i.line"
 
 
-@plan("conversations")
-def g_walk(d): return f"{scores(d)}, {cords(d)}, {walk(d, TOP)} SELECT conv_id, seq, {scaled('strength')} AS strength FROM reached"
+def one_of(d, text, budget): return f"CASE WHEN length({text}) <= {budget} THEN {d.struct(used=d.long(f'length({text})'), lines=d.array(text))} ELSE {blank(d)} END"
+
 
+def seeding(d, share=C.cord_share):
+    """(conv_id, res): facts above the floor within their share of the budget; the best one alone if none fits; the most important one if nothing matches."""
+    room = int(C.budget * (1 - share))
+    ranked = f"SELECT conv_id, {d.collect('text', 'r')} AS items, {d.max_by('text', '-r')} AS top FROM scored WHERE {kept()} GROUP BY conv_id"
+    filled = f"SELECT q.conv_id, items, top, anchor, {fold(d, f'coalesce(items, {d.empty()})', room)} AS res FROM queries q LEFT JOIN ({ranked}) i ON q.conv_id = i.conv_id LEFT JOIN anchors a ON q.conv_id = a.conv_id"
+    return f"SELECT conv_id, CASE WHEN items IS NULL AND anchor IS NOT NULL THEN {one_of(d, 'anchor', C.budget)} WHEN res.used = 0 AND top IS NOT NULL THEN {one_of(d, 'top', C.budget)} ELSE res END AS res FROM ({filled}) f"
 
-def woven(d, share=C.cord_share):
-    """Seeds within their share of the budget, then what the cords reach, and all of it in order."""
-    seeds = f"SELECT conv_id, {d.collect('text', 'r')} AS items FROM scored WHERE score >= {C.floor} * best GROUP BY conv_id"
-    first = f"SELECT conv_id, {fold(d, 'items', int(C.budget * (1 - share)))} AS res FROM ({seeds}) s"
-    reach = f"SELECT r.conv_id, {d.collect('text', '-' + scaled('strength'), '-r.seq')} AS extra FROM reached r JOIN knots k ON r.conv_id = k.conv_id AND r.seq = k.seq GROUP BY r.conv_id"
+
+def walked(d, first, seeds):
+    """chosen(conv_id, res), seeds, reached and packed facts: what cords reach from all seeds, by strength, fills what is left. A strand(conv_id, lines) for each query."""
+    reach = f"SELECT r.conv_id, {d.collect('text', '-' + scaled('strength'), 'r.seq')} AS extra FROM reached r JOIN knots k ON r.conv_id = k.conv_id AND r.seq = k.seq GROUP BY r.conv_id"
     fresh = d.filter(f"coalesce(extra, {d.empty()})", "y", f"NOT {d.contains('res.lines', 'y')}")
-    return f"SELECT f.conv_id, ({fold(d, fresh, C.budget, 'res')}).lines AS lines FROM ({first}) f LEFT JOIN ({reach}) x ON f.conv_id = x.conv_id"
+    return f"""{cords(d)}, chosen AS ({first}), {walk(d, of_texts(d, seeds))},
+strands AS (SELECT f.conv_id, ({fold(d, fresh, C.budget, 'res')}).lines AS lines FROM chosen f LEFT JOIN ({reach}) x ON f.conv_id = x.conv_id)"""
+
+
+def woven(d): return walked(d, seeding(d), "SELECT conv_id, res.lines AS lines FROM chosen")
+
+
+@plan("conversations")
+def g_walk(d): return f"{scores(d)}, {woven(d)} SELECT conv_id, seq, {scaled('strength')} AS strength FROM reached"
 
 
-def in_order(d, lines):
-    return f"SELECT k.conv_id, {d.collect('k.text', 'k.seq')} AS lines FROM knots k JOIN (SELECT conv_id, {d.explode('lines', 'line')} FROM ({lines}) l) i ON k.conv_id = i.conv_id AND k.text = i.line GROUP BY k.conv_id"
+def in_order(d):
+    """(conv_id, lines) for each query, in the order in which they were said."""
+    found = f"SELECT conv_id, {d.collect('text', 'seq')} AS lines FROM ({of_texts(d, 'SELECT * FROM strands')}) t GROUP BY conv_id"
+    return f"SELECT q.conv_id, coalesce(lines, {d.empty()}) AS lines FROM queries q LEFT JOIN ({found}) f ON q.conv_id = f.conv_id"
 
 
 @plan("conversations")
-def q_pack_weave(d): return f"{scores(d)}, {cords(d)}, {walk(d, TOP)} SELECT conv_id, {joined(d)} AS pack FROM ({in_order(d, woven(d))}) o"
+def q_pack_weave(d): return f"{scores(d)}, {woven(d)} SELECT conv_id, {joined(d)} AS pack FROM ({in_order(d)}) o"
+
+
+SCENE_RESERVE = 0.5
 
 
 @plan("conversations")
-def q_scene(d): return f"{scores(d)}, {cords(d)}, {walk(d, TOP)} SELECT conv_id, {joined(d)} AS scene FROM ({in_order(d, woven(d, 0.4))}) o"
+def q_scene(d):
+    """Half of the budget for what is important whatever the turn says, then seeds without a floor, then what the cords reach from them."""
+    res = f"coalesce(res, {blank(d)})"
+    ranked = f"SELECT conv_id, {d.collect('text', 'r')} AS items FROM scored GROUP BY conv_id"
+    held = f"SELECT q.conv_id, {res} AS held, items FROM queries q LEFT JOIN ({reserve(d, int(C.budget * SCENE_RESERVE))}) h ON q.conv_id = h.conv_id LEFT JOIN ({ranked}) i ON q.conv_id = i.conv_id"
+    fresh = d.filter(f"coalesce(items, {d.empty()})", "y", f"NOT {d.contains('held.lines', 'y')}")
+    room = f"(held.used + CAST(floor(({C.budget} - held.used) * {1 - C.cord_share}) AS BIGINT))"
+    first = f"SELECT conv_id, held, {fold(d, fresh, room, 'held')} AS res FROM ({held}) h"
+    return f"{scores(d)}, {importances(d)}, {walked(d, first, 'SELECT conv_id, ' + d.minus('res.lines', 'held.lines') + ' AS lines FROM chosen')} SELECT conv_id, {joined(d)} AS scene FROM ({in_order(d)}) o"
 
 
 @plan("conversations")
 def q_explain_weave(d):
-    lines = f"SELECT conv_id, {d.explode('lines', 'line')} FROM ({woven(d)}) l"
-    return f"{scores(d)}, {cords(d)}, {walk(d, TOP)} SELECT k.conv_id, k.seq, CASE WHEN s.seq IS NOT NULL THEN 'seed' ELSE 'cord' END AS kind FROM knots k JOIN ({lines}) i ON k.conv_id = i.conv_id AND k.text = i.line LEFT JOIN scored s ON k.conv_id = s.conv_id AND k.seq = s.seq"
+    return f"{scores(d)}, {woven(d)} SELECT k.conv_id, k.seq, CASE WHEN s.seq IS NOT NULL THEN 'seed' ELSE 'cord' END AS kind FROM ({of_texts(d, 'SELECT * FROM strands')}) k LEFT JOIN seeds s ON k.conv_id = s.conv_id AND k.seq = s.seq"
 
 
 @plan("conversations")
 def q_gated_weave(d):
-    """The woven pack only where the best lexical score is low."""
+    """The woven pack only where the best lexical score is low, or where nothing matches."""
     best = "SELECT conv_id, max(score) AS best FROM scored GROUP BY conv_id"
-    return f"{packed(d)}, {cords(d)}, {walk(d, TOP)} SELECT p.conv_id, best < 2000000 AS gated, CASE WHEN best < 2000000 THEN {joined(d, 'o.lines')} ELSE {joined(d, 'p.lines')} END AS pack FROM packs p JOIN ({best}) b ON p.conv_id = b.conv_id JOIN ({in_order(d, woven(d))}) o ON p.conv_id = o.conv_id"
+    return f"{packed(d)}, {woven(d)} SELECT p.conv_id, coalesce(best, 0) < 2000000 AS gated, CASE WHEN coalesce(best, 0) < 2000000 THEN {joined(d, 'o.lines')} ELSE {joined(d, 'p.lines')} END AS pack FROM packs p LEFT JOIN ({best}) b ON p.conv_id = b.conv_id JOIN ({in_order(d)}) o ON p.conv_id = o.conv_id"
 
 
 @plan("conversations")
@@ -110,29 +140,29 @@ def agg_stats_rp(d): return f"WITH {knots(d)} SELECT k.conv_id, count(DISTINCT r
 @plan("conversations")
 def agg_weave_diff(d):
     """Knots that the woven pack gains over the plain one, and loses."""
-    return f"{packed(d)}, {cords(d)}, {walk(d, TOP)} SELECT p.conv_id, {d.distinct(d.minus('o.lines', 'p.lines'))} AS gained, {d.distinct(d.minus('p.lines', 'o.lines'))} AS lost FROM packs p JOIN ({woven(d)}) o ON p.conv_id = o.conv_id"
+    return f"{packed(d)}, {woven(d)} SELECT p.conv_id, {d.distinct(d.minus('o.lines', 'p.lines'))} AS gained, {d.distinct(d.minus('p.lines', 'o.lines'))} AS lost FROM packs p JOIN strands o ON p.conv_id = o.conv_id"
 
 
 # co-occurrence
 
-def sentences(d): return f"lines AS (SELECT doc_id, pos, {T.weave_tokens(d, 's')} AS ws FROM (SELECT doc_id, {d.pos_explode(T.sentences(d, 'text'), 'pos', 's')} FROM documents) x), long_lines AS (SELECT * FROM lines WHERE {d.size('ws')} >= 2)"
+def weaving(d):
+    """long_lines(ws): the words of each sentence with two at least; unigrams(word, n); pairs(l, r, n): unordered pairs within a window of words of one sentence, without a join: each
+    word meets the slice after it.
+    """
+    lines = f"SELECT ws FROM (SELECT {T.weave_tokens(d, 's')} AS ws FROM (SELECT {d.explode(T.sentences(d, 'text'), 's')} FROM documents) x) y WHERE {d.size('ws')} >= 2"
+    unigrams = f"SELECT w AS word, count(*) AS n FROM (SELECT {d.explode('ws', 'w')} FROM long_lines) u GROUP BY w"
+    ahead = f"SELECT w, {d.explode(d.slice('ws', 'CAST(i + 2 AS INT)', C.weave_window), 'v')} FROM (SELECT ws, {d.pos_explode('ws', 'i', 'w')} FROM long_lines) a"
+    return [("long_lines", lines), ("unigrams", unigrams), ("word_pairs", f"SELECT least(w, v) AS l, greatest(w, v) AS r, count(*) AS n FROM ({ahead}) p WHERE w <> v GROUP BY least(w, v), greatest(w, v)")]
 
 
-def weave(d):
-    """unigrams(word, n), pairs(l, r, n): words, and unordered pairs within a window of words of one sentence. No join: each word meets the slice after it."""
-    at = "i + 2" if d.name == "spark" else "i + 2"
-    ahead = f"SELECT w, {d.explode(d.slice('ws', f'CAST({at} AS INT)', C.weave_window), 'v')} FROM (SELECT ws, {d.pos_explode('ws', 'i', 'w')} FROM long_lines) a"
-    return f"""{sentences(d)},
-unigrams AS (SELECT w AS word, count(*) AS n FROM (SELECT {d.explode('ws', 'w')} FROM long_lines) u GROUP BY w),
-pairs AS (SELECT least(w, v) AS l, greatest(w, v) AS r, count(*) AS n FROM ({ahead}) p WHERE w <> v GROUP BY least(w, v), greatest(w, v)),
-total AS (SELECT CAST(sum(n) AS BIGINT) AS tokens FROM unigrams)"""
+def weave(d): return f"{shared(d, *weaving(d))}, total AS (SELECT CAST(sum(n) AS BIGINT) AS tokens FROM unigrams)"
 
 
 def npmi(d):
     one = "1.0D" if d.name == "spark" else "1.0::DOUBLE"
     joint, expected = f"({one} * p.n / tokens)", f"({one} * x.n / tokens) * ({one} * y.n / tokens)"
     return f"""{weave(d)},
-strong AS (SELECT p.l, p.r, {scaled(f'ln({joint} / ({expected})) / -ln({joint})', 10_000)} AS strength FROM pairs p JOIN unigrams x ON p.l = x.word JOIN unigrams y ON p.r = y.word JOIN total ON tokens > 0
+strong AS (SELECT p.l, p.r, {scaled(f'ln({joint} / ({expected})) / -ln({joint})', 10_000)} AS strength FROM word_pairs p JOIN unigrams x ON p.l = x.word JOIN unigrams y ON p.r = y.word JOIN total ON tokens > 0
            WHERE p.n >= {C.weave_min_pair} AND x.n >= {C.weave_min_count} AND y.n >= {C.weave_min_count} AND {joint} > {expected}),
 sides AS (SELECT l AS word, r AS other, strength FROM strong UNION ALL SELECT r, l, strength FROM strong),
 related AS (SELECT word, other, strength, k FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY strength DESC, other DESC) AS k FROM sides) z WHERE k <= {C.weave_neighbours})"""
@@ -143,7 +173,7 @@ def agg_unigram(d): return f"WITH {weave(d)} SELECT word, n FROM unigrams"
 
 
 @plan("documents")
-def agg_pairs(d): return f"WITH {weave(d)} SELECT l, r, n FROM pairs WHERE n >= {C.weave_min_pair}"
+def agg_pairs(d): return f"WITH {weave(d)} SELECT l, r, n FROM word_pairs WHERE n >= {C.weave_min_pair}"
 
 
 @plan("documents")
@@ -172,7 +202,14 @@ def join_assoc(d):
     return f"WITH {npmi(d)}, {queries(d)}, asked AS ({asked}) SELECT DISTINCT a.conv_id, r.other FROM asked a JOIN related r ON a.word = r.word LEFT JOIN asked b ON a.conv_id = b.conv_id AND r.other = b.word WHERE r.k <= 6 AND r.strength >= 2000 AND b.word IS NULL"
 
 
-PLANS["br_weave"] = Plan("br_weave", ("documents", "conversations"), join_assoc)
+@plan("documents", "conversations")
+def br_weave(d):
+    """The six facts in which most of the words occur that the weave adds to a query; the newer one first where as many do."""
+    asked = f"SELECT DISTINCT conv_id, word FROM (SELECT conv_id, {d.explode(T.weave_tokens(d, 'query'), 'word')} FROM queries) q"
+    wanted = "SELECT DISTINCT a.conv_id, r.other FROM asked a JOIN related r ON a.word = r.word WHERE r.k <= 8 AND r.strength >= 2000"
+    found = f"SELECT k.conv_id, k.seq, count(*) AS overlap FROM memory k JOIN wanted w ON k.conv_id = w.conv_id AND {d.has('lower(k.text)', 'w.other')} GROUP BY k.conv_id, k.seq"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, seq DESC) AS r FROM ({found}) f"
+    return f"WITH {npmi(d)}, {shared(d, *memory(d))}, asked AS ({asked}), wanted AS ({wanted}) SELECT conv_id, seq, overlap, r FROM ({ranked}) z WHERE r <= {C.bridge_k}"
 
 
 @plan("documents", "conversations")
@@ -210,16 +247,25 @@ def br_embed_topk(d): return f"WITH {nearest(d, C.bridge_k)} SELECT q, v, cosine
 PLANS["join_cross_embed"] = Plan("join_cross_embed", ("embeddings",), br_embed_topk)
 
 
-@plan("embeddings")
+def worded(d, k):
+    """near with the words in common: a vector's words are those of the first 400 characters of the document of its number; jaccard is in millionths."""
+    words = f"SELECT doc_id, {T.words(d, 'left(text, 400)')} AS ws FROM documents"
+    both = d.size(d.common("a.ws", "b.ws"))
+    union = f"({d.size('a.ws')} + {d.size('b.ws')} - {both})"
+    return f"""{nearest(d, k).replace('near AS', 'close AS', 1)}, worded AS ({words}),
+near AS (SELECT c.*, CASE WHEN a.doc_id IS NULL OR b.doc_id IS NULL OR {union} = 0 THEN 0 ELSE CAST(floor(1000000 * {both} / {union}) AS BIGINT) END AS jaccard FROM close c LEFT JOIN worded a ON c.q = a.doc_id LEFT JOIN worded b ON c.v = b.doc_id)"""
+
+
+@plan("embeddings", "documents")
 def br_hybrid(d):
-    """The 30 nearest, ranked again with a bonus for the same label."""
-    return f"WITH {nearest(d, 30)} SELECT q, v, rank FROM (SELECT q, v, row_number() OVER (PARTITION BY q ORDER BY cosine + CASE WHEN ql = vl THEN 100000 ELSE 0 END DESC, v) AS rank FROM near) z WHERE rank <= {C.bridge_k}"
+    """The 30 nearest, ranked again by cosine and half the share of words in common."""
+    return f"WITH {worded(d, 30)} SELECT q, v, rank FROM (SELECT q, v, row_number() OVER (PARTITION BY q ORDER BY cosine + CAST(floor(jaccard / 2) AS BIGINT) DESC, v) AS rank FROM near) z WHERE rank <= {C.bridge_k}"
 
 
-@plan("embeddings")
+@plan("embeddings", "documents")
 def agg_rank_shift(d):
-    moved = "SELECT q, v, r, row_number() OVER (PARTITION BY q ORDER BY cosine + CASE WHEN ql = vl THEN 100000 ELSE 0 END DESC, v) AS rank, ql = vl AS wanted FROM near"
-    return f"WITH {nearest(d, 30)} SELECT {d.count_if('wanted AND rank < r')} AS wins, {d.count_if('wanted AND rank > r')} AS losses, CAST(sum(CASE WHEN wanted THEN r - rank ELSE 0 END) AS BIGINT) AS moved FROM ({moved}) m"
+    moved = "SELECT q, v, r, row_number() OVER (PARTITION BY q ORDER BY cosine + CAST(floor(jaccard / 2) AS BIGINT) DESC, v) AS rank, ql = vl AS wanted FROM near"
+    return f"WITH {worded(d, 30)} SELECT {d.count_if('wanted AND rank < r')} AS wins, {d.count_if('wanted AND rank > r')} AS losses, CAST(sum(CASE WHEN wanted THEN r - rank ELSE 0 END) AS BIGINT) AS moved FROM ({moved}) m"
 
 
 # evaluation
@@ -259,10 +305,16 @@ def agg_separation(d):
 PLANS["ev_control"] = Plan("ev_control", (), agg_separation)
 
 
+BUDGETS = (0, 30, 60, 300)
+
+
 @plan()
 def ev_verdict(d):
-    runs = d.values("(1, 9, 2, 8, 2), (2, 9, 2, 3, 3), (3, 3, 3, 9, 2), (4, 3, 3, 3, 3)", "run, a_with, a_without, b_with, b_without")
-    return f"SELECT run, CASE WHEN a_with > a_without AND b_with > b_without THEN 'generalises' WHEN a_with > a_without THEN 'only A' WHEN b_with > b_without THEN 'only B' ELSE 'no effect' END AS verdict FROM {runs} r"
+    """Whether a larger budget helps direct questions (A), others (B), both or none, for each pair of budgets."""
+    def one(b): return f"SELECT {b} AS budget, {d.count_if(chr(39).join(['hit AND kind = ', 'direct', '']))} AS a, {d.count_if(chr(39).join(['hit AND kind <> ', 'direct', '']))} AS b FROM (WITH {answers(d, b)} SELECT kind, hit FROM judged WHERE id = j) x{b}"
+
+    runs = " UNION ALL ".join(map(one, BUDGETS))
+    return f"WITH runs AS ({runs}) SELECT x.budget AS low, y.budget AS high, CASE WHEN y.a > x.a AND y.b > x.b THEN 'generalises' WHEN y.a > x.a THEN 'only A' WHEN y.b > x.b THEN 'only B' ELSE 'no effect' END AS verdict FROM runs x JOIN runs y ON x.budget < y.budget"
 
 
 @plan()
@@ -271,10 +323,13 @@ def ev_classify_miss(d):
     return f"SELECT id, CASE WHEN {T.trim(d, 'answer')} = '' THEN 'empty' WHEN {d.has('lower(answer)', 'wanted')} THEN 'right' WHEN {d.re_test('answer', '(?i)(know|unsure|cannot say)')} THEN 'unknown' ELSE 'wrong' END AS outcome FROM {said} s"
 
 
-@plan("labels")
+@plan()
 def agg_confusion(d):
-    g = "CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END"
-    return f"SELECT {d.count_if(f'quality = 1 AND {g} = 1')} AS tp, {d.count_if(f'quality = 0 AND {g} = 1')} AS fp, {d.count_if(f'quality = 1 AND {g} = 0')} AS fn, {d.count_if(f'quality = 0 AND {g} = 0')} AS tn FROM labels"
+    """The classifier of wide queries against the questions' kinds, of which all but the direct ones need wide retrieval."""
+    asked = d.values(X.rows(d, [(i, q, g) for i, q, _, g in X.QUESTIONS]), "id, question, kind")
+    found = f"SELECT kind <> 'direct' AND kind <> 'absent' AS wide, {T.needs_wide(d, 'question')} AS said FROM {asked} a"
+    counts = ", ".join(f"{d.count_if(c)} AS {n}" for n, c in (("tp", "wide AND said"), ("fp", "NOT wide AND said"), ("fn", "wide AND NOT said"), ("tn", "NOT wide AND NOT said")))
+    return f"SELECT tp, fp, fn, tn, {scaled('tp / greatest(tp + fn, 1)', 1000)} AS recall, {scaled('tp / greatest(tp + fp, 1)', 1000)} AS precise FROM (SELECT {counts} FROM ({found}) f) c"
 
 
 @plan("labels")
@@ -282,27 +337,44 @@ def ev_paired(d): return f"SELECT doc_id FROM labels GROUP BY doc_id HAVING {d.c
 
 
 @plan("conversations")
-def ev_scored_turns(d): return "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) x WHERE role = 'user' AND next IS NOT NULL"
+def ev_scored_turns(d): return "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM TURNS t) x WHERE role = 'user' AND next IS NOT NULL".replace("TURNS", X.turns(d))
+
+
+def needing(d, shift):
+    """(conv_id, turn, seq, token, df): rare words that a reply shares with an earlier fact, of its own conversation (shift 0) or of the one so many behind it."""
+    reply = f"SELECT conv_id, turn, {d.explode(T.words(d, 'text'), 'token')} FROM {X.turns(d)} t WHERE role <> 'user'"
+    logs = f"SELECT conv_id, coalesce(lead(conv_id, {shift}) OVER (ORDER BY conv_id), conv_id) AS log FROM (SELECT DISTINCT conv_id FROM knots) c" if shift else "SELECT DISTINCT conv_id, conv_id AS log FROM knots"
+    return f"SELECT DISTINCT r.conv_id, r.turn, k.seq, r.token, df FROM ({reply}) r JOIN ({logs}) l ON r.conv_id = l.conv_id JOIN postings p ON l.log = p.conv_id AND r.token = p.token JOIN knots k ON p.conv_id = k.conv_id AND p.seq = k.seq AND k.turn < r.turn - 1 JOIN df f ON l.log = f.conv_id AND r.token = f.token WHERE df <= 3"
 
 
 @plan("conversations")
 def ev_needed(d):
-    """Rare words that a reply shares with an earlier knot of its conversation."""
-    reply = f"SELECT conv_id, turn, {d.explode(T.words(d, 'text'), 'token')} FROM conversations WHERE role = 'assistant'"
-    both = "SELECT DISTINCT r.conv_id, r.turn, k.seq, r.token, df FROM reply r JOIN postings p ON r.conv_id = p.conv_id AND r.token = p.token JOIN knots k ON p.conv_id = k.conv_id AND p.seq = k.seq AND k.turn < r.turn - 1 JOIN df f ON r.conv_id = f.conv_id AND r.token = f.token WHERE df <= 3"
-    return f"WITH {index(d)}, reply AS ({reply}) SELECT conv_id, turn, seq, token, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY df, token, seq) AS rank FROM ({both}) b) z WHERE rank <= 5"
+    return f"WITH {index(d)} SELECT conv_id, turn, seq, token, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY df, token, seq) AS rank FROM ({needing(d, 0)}) b) z WHERE rank <= 5"
+
+
+def arms(d, shifts):
+    parts = " UNION ALL ".join(f"SELECT {s} AS shift, count(DISTINCT {'concat(CAST(conv_id AS STRING), chr(58), CAST(turn AS STRING))' if d.name == 'duckdb' else 'struct(conv_id, turn)'}) AS turns, count(*) AS needed FROM ({needing(d, s)}) n{s}" for s in shifts)
+    return f"WITH {index(d)} {parts}"
+
+
+@plan("conversations")
+def ev_overlap(d):
+    """Replies that need earlier facts of their own conversation, and how many would seem to with another one's log."""
+    return arms(d, (0, 1))
 
 
 @plan("conversations")
-def ev_overlap(d): return f"SELECT conv_id, count(DISTINCT turn) AS turns, count(*) AS needed FROM ({ev_needed(d)}) n GROUP BY conv_id"
+def ev_turn_seeds(d):
+    """The same audit for several seeds, each of which pairs replies with another log."""
+    return arms(d, (1, 2, 3, 5, 8))
 
 
 @plan("conversations")
 def agg_window_bridge(d):
     """Whether a query shares a word with the turns around each knot's own, for windows of 0, 1, 2 and 4 turns."""
-    said = f"SELECT DISTINCT t.conv_id, t.turn FROM (SELECT conv_id, turn, {d.explode(T.words(d, 'text'), 'token')} FROM conversations) t JOIN typed y ON t.conv_id = y.conv_id AND t.token = y.token JOIN queries q ON t.conv_id = q.conv_id WHERE t.turn < q.query_turn"
+    said = f"SELECT DISTINCT t.conv_id, t.turn FROM (SELECT conv_id, turn, {d.explode(T.words(d, 'text'), 'token')} FROM {X.turns(d)} t) t JOIN typed y ON t.conv_id = y.conv_id AND t.token = y.token JOIN queries q ON t.conv_id = q.conv_id WHERE t.turn < q.query_turn"
     steps = d.values("(0), (1), (2), (4)", "w")
-    return f"WITH {queries(d)}, typed AS (SELECT conv_id, {d.explode(T.words(d, 'query'), 'token')} FROM queries), said AS ({said}) SELECT t.conv_id, t.turn, w, count(s.turn) > 0 AS shared FROM conversations t JOIN {steps} g ON w >= 0 LEFT JOIN said s ON t.conv_id = s.conv_id AND s.turn BETWEEN t.turn - w AND t.turn + w GROUP BY t.conv_id, t.turn, w"
+    return f"WITH {queries(d)}, typed AS (SELECT conv_id, {d.explode(T.words(d, 'query'), 'token')} FROM queries), said AS ({said}) SELECT t.conv_id, t.turn, w, count(s.turn) > 0 AS shared FROM {X.turns(d)} t JOIN {steps} g ON w >= 0 LEFT JOIN said s ON t.conv_id = s.conv_id AND s.turn BETWEEN t.turn - w AND t.turn + w GROUP BY t.conv_id, t.turn, w"
 
 
 @plan("conversations")
@@ -320,9 +392,4 @@ def agg_decompose(d):
 
 
 @plan("conversations")
-def agg_density(d): return f"WITH {knots(d)} SELECT k.conv_id, {scaled('stored / observed')} AS density FROM (SELECT conv_id, CAST(sum(length(text)) AS DOUBLE) AS stored FROM knots GROUP BY conv_id) k JOIN (SELECT conv_id, CAST(sum(length(text)) AS DOUBLE) AS observed FROM conversations GROUP BY conv_id) o ON k.conv_id = o.conv_id"
-
-
-@plan("events")
-def agg_summary_seeds(d): return f"SELECT event_type, count(*) AS n, {scaled('min(value)', 1000)} AS low, {scaled('max(value)', 1000)} AS high FROM events GROUP BY event_type"
-
+def agg_density(d): return f"WITH {knots(d)} SELECT k.conv_id, {scaled('stored / observed')} AS density FROM (SELECT conv_id, CAST(sum(length(text)) AS DOUBLE) AS stored FROM knots GROUP BY conv_id) k JOIN (SELECT conv_id, CAST(sum(length(text)) AS DOUBLE) AS observed FROM {X.turns(d)} t GROUP BY conv_id) o ON k.conv_id = o.conv_id"

@@ -98,7 +98,7 @@ def str_classify_gap(d):
 @plan("conversations")
 def ev_gap_helpers(d):
     raw = T.raw_tokens(d, "text")
-    return f"""SELECT id, {d.size(d.filter(d.slice(raw, 2, 100000), 'x', d.re_test('x', '^[A-Z][a-z]')))} AS proper, {d.has('text', T.possessive(d))} AS possessive,
+    return f"""SELECT id, {d.size(d.filter(d.after_first(raw), 'x', d.re_test('x', '^[A-Z][a-z]')))} AS proper, {d.has('text', T.possessive(d))} AS possessive,
         {d.re_test('text', '["“”]')} AS quoted, {d.re_test('text', '[0-9]')} AS numbered, {d.size(d.filter(T.tokens(d, 'text'), 'x', f'length(x) >= 6 AND x NOT IN ({quoted(V.STOP)})'))} AS long_words FROM {X.texts(d)} t"""
 
 
@@ -154,21 +154,32 @@ def rp_extract(d):
     return f"SELECT id, CAST(pos AS BIGINT) AS pos, left({T.third_person(d, 'bare', 'Carmen')}, {C.max_chars}) AS knot FROM ({rows}) y WHERE length(bare) >= 12 AND {rp_fact(d, 'bare')}"
 
 
+def counted_names(d):
+    """names(conv_id, turn, name, n, known): how often each name occurred in its conversation up to and with this turn; known by the second time, or if it is a speaker's who was heard."""
+    caps = f"SELECT conv_id, turn, {d.explode(rp_capitals_of(d, 'text'), 'name')} FROM {X.turns(d)} t"
+    running = f"SELECT conv_id, turn, name, CAST(sum(n) OVER (PARTITION BY conv_id, name ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM (SELECT conv_id, turn, name, count(*) AS n FROM ({caps}) c GROUP BY conv_id, turn, name) g"
+    heard = f"SELECT conv_id, role, min(turn) AS since FROM {X.turns(d)} t GROUP BY conv_id, role"
+    return f"names AS (SELECT r.conv_id, r.turn, r.name, r.n, r.n >= 2 OR coalesce(h.since <= r.turn, FALSE) AS known FROM ({running}) r LEFT JOIN ({heard}) h ON r.conv_id = h.conv_id AND r.name = h.role)"
+
+
 @plan("conversations")
-def rp_gazetteer(d):
-    caps = f"SELECT id, {d.explode(rp_capitals_of(d, 'text'), 'name')} FROM {X.texts(d)} t"
-    return f"SELECT id, name, n, n >= 2 AS known FROM (SELECT id, name, CAST(count(*) OVER (PARTITION BY name ORDER BY id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM ({caps}) c) x GROUP BY id, name, n"
+def rp_gazetteer(d): return f"WITH {counted_names(d)} SELECT conv_id, turn, name, n FROM names"
 
 
 PLANS["win_gazetteer"] = Plan("win_gazetteer", ("conversations",), rp_gazetteer)
 
 
+@plan("conversations")
+def rp_known(d): return f"WITH {counted_names(d)} SELECT conv_id, turn, name, known FROM names"
+
+
 @plan("conversations")
 def agg_entities(d):
-    caps = f"SELECT {d.explode(rp_capitals_of(d, 'text'), 'name')} FROM {X.texts(d)} t"
-    return f"SELECT name, count(*) AS n FROM ({caps}) c GROUP BY name ORDER BY n DESC, name LIMIT 10"
+    """The ten most frequent known names of each conversation."""
+    ranked = "SELECT conv_id, name, max(n) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY max(n) DESC, name) AS r FROM names WHERE known GROUP BY conv_id, name"
+    return f"WITH {counted_names(d)} SELECT conv_id, name, n FROM ({ranked}) x WHERE r <= 10"
 
 
 @plan("conversations")
 def agg_cast(d):
-    return f"SELECT conv_id, {d.collect('role', 'role')} AS speakers FROM (SELECT DISTINCT conv_id, role FROM conversations) r GROUP BY conv_id"
+    return f"SELECT conv_id, {d.collect('role', 'role')} AS speakers FROM (SELECT DISTINCT conv_id, role FROM {X.turns(d)} t) r GROUP BY conv_id"

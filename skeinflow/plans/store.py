@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from ..config import DEFAULT as C
 from ..functions import text as T
+from ..functions.dialect import SPARK
+from ..operators.extract import extract_knots
+from ..sources.tables import SHARED, shared
 from . import fixtures as X
 from .catalog import PLANS, Plan, plan
 
@@ -11,24 +14,63 @@ from .catalog import PLANS, Plan, plan
 def scaled(x, by=1_000_000): return f"CAST(floor(({x}) * {by} + 0.5) AS BIGINT)"
 
 
-def occurrences(d, turns="conversations"):
-    """occ(conv_id, n, turn, role, text): every admitted sentence, in order, cut to its limit."""
-    s = f"SELECT conv_id, turn, role, pos, left({T.trim(d, 's')}, {C.max_chars}) AS text FROM (SELECT conv_id, turn, role, {d.pos_explode(T.sentences(d, 'text'), 'pos', 's')} FROM {turns} t) x"
-    return f"occ AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS n, turn, role, text FROM ({s}) y WHERE length(text) >= {C.min_chars})"
+def parts(d) -> list[tuple[str, str]]:
+    """The fact store as statements, each over those before it.
 
+    occ(conv_id, n, turn, role, text): what was said to be kept, in order: of observed conversations the extracted facts, of the table's conversations, whose
+    prose holds no fact, every sentence as it is. info: its words and frames. pairs(conv_id, a, b): which correct each other. added, killers: what a
+    sequential store would have done. knots: the facts that live at the end; seq is the number of the text's last addition.
+    """
+    s = f"SELECT conv_id, turn, role, pos, left({T.trim(d, 's')}, {C.max_chars}) AS text FROM (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, {d.pos_explode(T.sentences(d, 'text'), 'pos', 's')} FROM conversations) x"
+    known = "(SELECT conv_id, turn, pos, knot AS text FROM skeinflow_s_observed)" if d.name == "spark" else d.values(X.rows(d, X.FACTS), "conv_id, turn, pos, text")
+    facts = f"(SELECT f.conv_id, f.turn, t.role, f.pos, f.text FROM {known} f JOIN {X.own_turns(d)} t ON f.conv_id = t.conv_id AND f.turn = t.turn)"
+    occ = f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS n, turn, role, text FROM ({s} UNION ALL SELECT * FROM {facts} f) y WHERE length(text) >= {C.min_chars}"
+    info = f"""SELECT conv_id, n, turn, role, text, w, {d.size('w')} AS size_w, {d.join('f', chr(39) + '|' + chr(39))} AS frame_key, {d.join(T.identifiers(d, 'f'), chr(39) + '|' + chr(39))} AS ids
+         FROM (SELECT o.*, {T.words(d, 'text')} AS w, {T.frame(d, 'text')} AS f FROM occ o) x"""
+    # sets of n words that overlap by 0.6 share one of the n - ceil(0.6 n) + 1 rarest words of each, so only those are joined on
+    least = "CAST(ceil(0.6 * size_w - 0.000001) AS BIGINT)"
+    both = d.size(d.common("x.w", "y.w"))
+    pairs = f"""WITH posted AS (SELECT conv_id, n, size_w, {d.explode('w', 'token')} FROM info),
+counted AS (SELECT p.*, df FROM posted p JOIN (SELECT conv_id, token, count(*) AS df FROM posted GROUP BY conv_id, token) c ON p.conv_id = c.conv_id AND p.token = c.token),
+rare AS (SELECT conv_id, n, token FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, n ORDER BY df, token) AS r FROM counted) c WHERE r <= size_w - {least} + 1),
+near AS (SELECT DISTINCT x.conv_id, x.n AS a, y.n AS b FROM rare x JOIN rare y ON x.conv_id = y.conv_id AND x.token = y.token AND x.n < y.n),
+alike AS (SELECT p.conv_id, p.a, p.b, 'words' AS kind FROM near p JOIN info x ON p.conv_id = x.conv_id AND p.a = x.n JOIN info y ON p.conv_id = y.conv_id AND p.b = y.n
+          WHERE x.ids = y.ids AND x.text <> y.text AND 10 * {both} >= 6 * (x.size_w + y.size_w - {both})),
+framed AS (SELECT x.conv_id, x.n AS a, y.n AS b, 'frame' AS kind FROM info x JOIN info y ON x.conv_id = y.conv_id AND x.frame_key = y.frame_key AND x.frame_key <> '' AND x.n < y.n AND x.text <> y.text)
+SELECT * FROM alike UNION ALL SELECT * FROM framed"""
+    added = """WITH earlier AS (SELECT conv_id, n, text, lag(n) OVER (PARTITION BY conv_id, text ORDER BY n) AS p FROM occ)
+SELECT DISTINCT e.conv_id, e.n FROM earlier e LEFT JOIN (SELECT conv_id, a, b FROM pairs UNION ALL SELECT conv_id, b, a FROM pairs) m ON e.conv_id = m.conv_id AND e.n = m.a AND m.b > e.p AND m.b < e.n WHERE e.p IS NULL OR m.b IS NOT NULL"""
+    killers = "SELECT x.conv_id, x.n, min(y.n) AS killer FROM added x LEFT JOIN pairs m ON x.conv_id = m.conv_id AND x.n = m.a LEFT JOIN added y ON m.conv_id = y.conv_id AND m.b = y.n GROUP BY x.conv_id, x.n"
+    knots = "SELECT i.conv_id, i.n AS seq, i.turn, i.role, i.text, i.w FROM killers k JOIN info i ON k.conv_id = i.conv_id AND k.n = i.n WHERE killer IS NULL"
+    return [("occ", occ), ("info", info), ("pairs", pairs), ("added", added), ("killers", killers), ("knots", knots)]
+
+
+def store(d) -> str:
+    return shared(d, *parts(d))
+
+
+knots = store
+
+
+def observed(spark, sf_dir):
+    """The facts of the observed conversations, extracted in Arrow batches."""
+    return extract_knots(spark.sql(f"SELECT * FROM {X.own_turns(SPARK)} t"))
 
-def knots(d, turns="conversations", before=""):
-    """knots(conv_id, seq, turn, role, text, w): first occurrences of each text."""
-    first = "SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY n) AS r FROM occ"
-    return f"{occurrences(d, turns)},\nknots AS (SELECT conv_id, n AS seq, turn, role, text, {T.words(d, 'text')} AS w FROM ({first}) o WHERE r = 1 {before})"
 
+SHARED["skeinflow_s_observed"] = observed
 
-def index(d, turns="conversations", before=""):
-    """knots, postings(conv_id, seq, token), df(conv_id, token, df), sizes(conv_id, total)."""
-    return f"""{knots(d, turns, before)},
-postings AS (SELECT conv_id, seq, {d.explode('w', 'token')} FROM knots),
-df AS (SELECT conv_id, token, count(*) AS df FROM postings GROUP BY conv_id, token),
-sizes AS (SELECT conv_id, count(*) AS total FROM knots GROUP BY conv_id)"""
+
+def lexicon(d, of="knots") -> list[tuple[str, str]]:
+    """postings(conv_id, seq, token), df(conv_id, token, df), sizes(conv_id, total) of knots."""
+    return [("postings", f"SELECT conv_id, seq, {d.explode('w', 'token')} FROM {of}"), ("df", "SELECT conv_id, token, count(*) AS df FROM postings GROUP BY conv_id, token"),
+            ("sizes", f"SELECT conv_id, count(*) AS total FROM {of} GROUP BY conv_id")]
+
+
+def ctes(statements) -> str:
+    return ",\n".join(f"{name} AS ({statement})" for name, statement in statements)
+
+
+def index(d): return f"{store(d)},\n{ctes(lexicon(d))}"
 
 
 def idf(): return "ln(1 + total / (1.0D + df))"
@@ -49,6 +91,29 @@ def flt_forget(d): return f"WITH {knots(d)} SELECT conv_id, seq, text FROM knots
 def flt_contains(d): return f"WITH {knots(d)} SELECT conv_id, count(*) AS n FROM knots WHERE text IN (SELECT text FROM knots WHERE seq = 1) GROUP BY conv_id"
 
 
+CLEARED = 2
+
+
+@plan("conversations")
+def flt_clear(d):
+    """Each memory emptied at its third turn: what is added from then on, numbered from one."""
+    later = f"SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY n) AS again FROM occ WHERE turn >= {CLEARED}"
+    return f"WITH {store(d)} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS seq, text FROM ({later}) l WHERE again = 1"
+
+
+def dropped(d):
+    """forgotten(conv_id, seq): the facts that hold the first word of their conversation's first fact, as forget() would take them."""
+    return f"""firsts AS (SELECT conv_id, {d.at('w', 1)} AS word FROM (SELECT conv_id, w, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS r FROM knots) f WHERE r = 1),
+forgotten AS (SELECT k.conv_id, k.seq FROM knots k JOIN firsts f ON k.conv_id = f.conv_id WHERE {d.has('lower(k.text)', 'f.word')}),
+left_over AS (SELECT k.* FROM knots k LEFT JOIN forgotten f ON k.conv_id = f.conv_id AND k.seq = f.seq WHERE f.seq IS NULL)"""
+
+
+@plan("conversations")
+def st_drop(d):
+    """The index after facts were dropped: postings and document frequencies of those that are left."""
+    return f"WITH {store(d)}, {dropped(d)}, {ctes(lexicon(d, 'left_over'))} SELECT p.conv_id, p.seq, p.token, f.df, s.total FROM postings p JOIN df f ON p.conv_id = f.conv_id AND p.token = f.token JOIN sizes s ON p.conv_id = s.conv_id"
+
+
 @plan("conversations")
 def agg_df(d): return f"WITH {index(d)} SELECT conv_id, token, df FROM df"
 
@@ -73,13 +138,10 @@ def st_evict(d):
     return f"WITH {index(d)}, {rarity(d)} SELECT conv_id, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY value DESC, seq DESC) AS r FROM ({value}) v) x WHERE r <= 10"
 
 
-PLANS["ss_bounded"] = Plan("ss_bounded", ("conversations",), st_evict)
-
-
 @plan("conversations")
 def st_index_terms(d):
     """Hidden terms of each knot: rare stems of its turn that it doesn't hold itself."""
-    own = f"SELECT k.conv_id, k.seq, k.turn, token FROM (SELECT k.conv_id, k.seq, k.turn, k.w, {d.explode(T.words(d, 't.text'), 'token')} FROM knots k JOIN conversations t ON k.conv_id = t.conv_id AND k.turn = t.turn) k WHERE NOT {d.contains('w', 'token')} AND length(token) >= 4"
+    own = f"SELECT k.conv_id, k.seq, k.turn, token FROM (SELECT k.conv_id, k.seq, k.turn, k.w, {d.explode(T.words(d, 't.text'), 'token')} FROM knots k JOIN {X.turns(d)} t ON k.conv_id = t.conv_id AND k.turn = t.turn) k WHERE NOT {d.contains('w', 'token')} AND length(token) >= 4"
     ranked = f"SELECT o.conv_id, o.seq, o.token, row_number() OVER (PARTITION BY o.conv_id, o.seq ORDER BY coalesce(df, 0), o.token) AS r FROM ({own}) o JOIN sizes s ON o.conv_id = s.conv_id LEFT JOIN df f ON o.conv_id = f.conv_id AND o.token = f.token WHERE coalesce(df, 0) <= greatest(3, CAST(floor(0.02 * total) AS BIGINT))"
     return f"WITH {index(d)} SELECT conv_id, seq, token, r FROM ({ranked}) x WHERE r <= 10"
 
@@ -87,49 +149,19 @@ def st_index_terms(d):
 @plan("conversations")
 def agg_stats(d):
     """Observed characters count all turns; stored ones the knots."""
-    seen = "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS observed FROM conversations GROUP BY conv_id"
+    seen = "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS observed FROM TURNS t GROUP BY conv_id".replace("TURNS", X.turns(d))
     kept = f"SELECT conv_id, count(*) AS entries, CAST(sum(length(text)) AS BIGINT) AS stored, {scaled('avg(imp)', 1000)} AS importance FROM (SELECT conv_id, text, {scaled(T.importance(d, 'text'), 1000)} / 1000.0 AS imp FROM knots) k GROUP BY conv_id"
     return f"WITH {knots(d)} SELECT o.conv_id, observed, coalesce(entries, 0) AS entries, coalesce(stored, 0) AS stored, importance, {C.max_entries} AS most FROM ({seen}) o LEFT JOIN ({kept}) k ON o.conv_id = k.conv_id"
 
 
 # supersession
 
-def matches(d, turns):
-    """occ, info and pairs(conv_id, a, b): which facts correct each other, found by equal frames or by shared rare words.
-
-    Sets of n words that overlap by 0.6 share one of the n - ceil(0.6 n) + 1 rarest words of each, so only those are joined on.
-    """
-    least = "CAST(ceil(0.6 * size_w - 0.000001) AS BIGINT)"
-    return f"""{occurrences(d, turns)},
-info AS (SELECT conv_id, n, text, w, {d.size('w')} AS size_w, {d.join('f', chr(39) + '|' + chr(39))} AS frame_key, {d.join(T.identifiers(d, 'f'), chr(39) + '|' + chr(39))} AS ids
-         FROM (SELECT conv_id, n, text, {T.words(d, 'text')} AS w, {T.frame(d, 'text')} AS f FROM occ) x),
-posted AS (SELECT conv_id, n, size_w, {d.explode('w', 'token')} FROM info),
-counted AS (SELECT *, count(*) OVER (PARTITION BY conv_id, token) AS df FROM posted),
-rare AS (SELECT conv_id, n, token FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, n ORDER BY df, token) AS r FROM counted) c WHERE r <= size_w - {least} + 1),
-near AS (SELECT DISTINCT x.conv_id, x.n AS a, y.n AS b FROM rare x JOIN rare y ON x.conv_id = y.conv_id AND x.token = y.token AND x.n <> y.n),
-alike AS (SELECT p.conv_id, p.a, p.b FROM near p JOIN info x ON p.conv_id = x.conv_id AND p.a = x.n JOIN info y ON p.conv_id = y.conv_id AND p.b = y.n
-          WHERE x.ids = y.ids AND x.text <> y.text AND 10 * {d.size(d.common('x.w', 'y.w'))} >= 6 * (x.size_w + y.size_w - {d.size(d.common('x.w', 'y.w'))})),
-framed AS (SELECT x.conv_id, x.n AS a, y.n AS b FROM info x JOIN info y ON x.conv_id = y.conv_id AND x.frame_key = y.frame_key AND x.frame_key <> '' AND x.text <> y.text),
-pairs AS (SELECT * FROM alike UNION SELECT * FROM framed)"""
-
-
-def history(d, turns):
-    """added(conv_id, n), killers(conv_id, n, killer): what a sequential store would have done, by joins."""
-    return f"""{matches(d, turns)},
-earlier AS (SELECT conv_id, n, text, lag(n) OVER (PARTITION BY conv_id, text ORDER BY n) AS p FROM occ),
-added AS (SELECT DISTINCT e.conv_id, e.n FROM earlier e LEFT JOIN pairs m ON e.conv_id = m.conv_id AND e.n = m.a AND m.b > e.p AND m.b < e.n WHERE e.p IS NULL OR m.b IS NOT NULL),
-killers AS (SELECT x.conv_id, x.n, min(y.n) AS killer FROM added x LEFT JOIN pairs m ON x.conv_id = m.conv_id AND x.n = m.a AND m.b > x.n LEFT JOIN added y ON m.conv_id = y.conv_id AND m.b = y.n GROUP BY x.conv_id, x.n)"""
-
-
-def both(d): return f"(SELECT conv_id + 100 AS conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, role, text FROM {X.own_turns(d)} f)"
-
-
 @plan("conversations")
-def st_dedupe(d): return f"WITH {history(d, both(d))} SELECT conv_id, n FROM added"
+def st_dedupe(d): return f"WITH {store(d)} SELECT conv_id, n FROM added"
 
 
 @plan("conversations")
-def st_supersede(d): return f"WITH {history(d, both(d))} SELECT k.conv_id, k.n, killer, killer IS NULL AS live, text FROM killers k JOIN occ o ON k.conv_id = o.conv_id AND k.n = o.n"
+def st_supersede(d): return f"WITH {store(d)} SELECT k.conv_id, k.n, killer, killer IS NULL AS live, text FROM killers k JOIN occ o ON k.conv_id = o.conv_id AND k.n = o.n"
 
 
 def descendants(d, killers="killers"):
@@ -139,18 +171,18 @@ SELECT a.conv_id, a.n, count(u.node) AS reinforced FROM {killers} a LEFT JOIN up
 
 
 @plan("conversations")
-def g_history(d): return f"WITH {history(d, both(d))} SELECT k.conv_id, killer AS n, {d.collect('text', 'k.n')} AS replaced FROM killers k JOIN occ o ON k.conv_id = o.conv_id AND k.n = o.n WHERE killer IS NOT NULL GROUP BY k.conv_id, killer"
+def g_history(d): return f"WITH {store(d)} SELECT k.conv_id, killer AS n, {d.collect('text', 'k.n')} AS replaced FROM killers k JOIN occ o ON k.conv_id = o.conv_id AND k.n = o.n WHERE killer IS NOT NULL GROUP BY k.conv_id, killer"
 
 
 PLANS["g_revisions"] = Plan("g_revisions", ("conversations",), g_history)
 
 
 @plan("conversations")
-def join_overlap(d): return f"WITH {matches(d, 'conversations')} SELECT conv_id, a, b FROM alike WHERE a < b"
+def join_overlap(d): return f"WITH {store(d)} SELECT conv_id, a, b FROM pairs WHERE kind = 'words'"
 
 
 @plan("conversations")
-def join_frame(d): return f"WITH {matches(d, both(d))} SELECT conv_id, a, b FROM framed WHERE a < b"
+def join_frame(d): return f"WITH {store(d)} SELECT conv_id, a, b FROM pairs WHERE kind = 'frame'"
 
 
 def judged(d):
@@ -173,7 +205,7 @@ def agg_safety(d): return f"SELECT count(*) AS pairs, CAST(sum(CASE WHEN replace
 def agg_invariant(d):
     """Live facts of one memory that share a frame: there are none."""
     live = "SELECT k.conv_id, frame_key FROM killers k JOIN info i ON k.conv_id = i.conv_id AND k.n = i.n WHERE killer IS NULL AND frame_key <> ''"
-    return f"WITH {history(d, both(d))} SELECT count(*) AS collapsed FROM (SELECT conv_id, frame_key FROM ({live}) l GROUP BY conv_id, frame_key HAVING count(*) > 1) x"
+    return f"WITH {store(d)} SELECT count(*) AS collapsed FROM (SELECT conv_id, frame_key FROM ({live}) l GROUP BY conv_id, frame_key HAVING count(*) > 1) x"
 
 
 # time

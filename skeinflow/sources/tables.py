@@ -1,15 +1,74 @@
-"""Parquet tables as views."""
+"""Parquet tables, as views under private names, and tables that several plans share."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_NAMED = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
+_SHARED = re.compile(r"\bskeinflow_s_\w+")
+
+#: Statements of shared tables, by name; those that need Python are functions of (spark, sf_dir).
+SHARED: dict[str, str | Callable[[SparkSession, str], DataFrame]] = {}
+_WRITTEN: dict[tuple, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register(spark: SparkSession, sf_dir: str, names) -> None:
-    """Session views by the tables' names; plans bind to them when they are made."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+def work_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master (tests) may do without, and gets a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="skeinflow-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def file_of(spark: SparkSession, path: str):
+    """The file system and the path, as the JVM has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def changed(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the tables that shared ones are made of were written last."""
+    out = []
+    for name in ("conversations", "documents"):
+        fs, at = file_of(spark, f"{sf_dir}/{name}.parquet")
+        out.append(fs.getFileStatus(at).getModificationTime() if fs.exists(at) else 0)
+    return tuple(out)
+
+
+def shared(d, *parts: tuple[str, str]) -> str:
+    """CTEs of (name, statement), each of which may read those before it. For Spark each is a table that is written once, for the oracle the statement itself."""
+    if d.name != "spark":
+        return ",\n".join(f"{name} AS ({statement})" for name, statement in parts)
+    views = [f"{name} AS (SELECT * FROM skeinflow_s_{name})" for name, _ in parts]
+    for k, (name, statement) in enumerate(parts):
+        SHARED[f"skeinflow_s_{name}"] = (f"WITH {', '.join(views[:k])} " if k else "") + f"SELECT * FROM ({statement}) z"
+    return ", ".join(views)
+
+
+def run_sql(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
+    """Runs a statement over the tables in sf_dir; the views that it reads have names of their own, so the session's stay as they are."""
+    for name in dict.fromkeys(_SHARED.findall(statement)):
+        key = (spark.sparkContext.applicationId, sf_dir, changed(spark, sf_dir), name)
+        fs, at = file_of(spark, _WRITTEN.get(key, "/"))
+        if key not in _WRITTEN or not fs.exists(at):
+            made = SHARED[name]
+            path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+            (run_sql(spark, sf_dir, made) if isinstance(made, str) else made(spark, sf_dir)).write.parquet(path)
+            _WRITTEN[key] = path
+        spark.read.parquet(_WRITTEN[key]).createOrReplaceTempView(name)
+    for name in {m[1] for m in _NAMED.findall(statement)}:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"skeinflow_t_{name}")
+    return spark.sql(_NAMED.sub(r"\1 skeinflow_t_\2", statement))

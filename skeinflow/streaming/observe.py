@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT as C
 from ..operators import rules
+from ..sources.tables import file_of, work_dir
 
 LIVE = "conv_id bigint, seq bigint, text string, reinforced bigint"
 
@@ -38,17 +39,26 @@ class Memory:
         old = [f for f in self.facts if replaced(f)]
         self.seq += 1
         self.facts = [f for f in self.facts if not replaced(f)] + [[self.seq, text, sum(1 + f[2] for f in old), w, key, ids]]
-        if len(self.facts) > most:  # bounded state: the oldest goes
-            self.facts = self.facts[-most:]
+        if len(self.facts) > most:  # bounded state: the least valuable go
+            self.facts = sorted(sorted(self.facts, key=lambda f: (self.value(f), f[0]))[-most:], key=lambda f: f[0])
 
+    def value(self, fact) -> float:
+        """How rare a fact's words are in this memory, times its importance."""
+        total = len(self.facts)
+        idf = [math.log(1 + total / (1 + sum(w in f[3] for f in self.facts))) for w in fact[3]]
+        return math.floor((sum(sorted(idf)) / len(idf) if idf else 0.0) * (1 + rules.importance(fact[1]) / 5) * 1e6 + 0.5)
 
-def observe(turns: DataFrame, most: int = C.max_entries) -> DataFrame:
-    """A streaming DataFrame of turns (conv_id, turn, text) -> each touched conversation's live facts after each batch."""
+
+def observe(turns: DataFrame, most: int = C.max_entries, extracting: bool = False) -> DataFrame:
+    """A streaming DataFrame of turns (conv_id, turn, role, text) -> each touched conversation's live facts after each batch.
+
+    extracting: facts are extracted from each turn; else each sentence is added as it is.
+    """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = Memory(*json.loads(state.get[0])) if state.exists else Memory()
         rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
-        for text in rows.text:
-            for s in rules.sentences(text or ""):
+        for role, text in zip(rows.role, rows.text):
+            for s in rules.said(role, text) if extracting else rules.sentences(text or ""):
                 memory.add(s, most)
         state.update((json.dumps([memory.facts, memory.seq]),))
         yield pd.DataFrame([(key[0], f[0], f[1], f[2]) for f in memory.facts], columns=["conv_id", "seq", "text", "reinforced"])
@@ -56,24 +66,62 @@ def observe(turns: DataFrame, most: int = C.max_entries) -> DataFrame:
     return turns.groupBy("conv_id").applyInPandasWithState(step, LIVE, "memory string", "append", GroupStateTimeout.NoTimeout)
 
 
-def work_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="skeinflow-")).rstrip("/")
-
-
-def run_once(spark: SparkSession, source: str, most: int = C.max_entries) -> DataFrame:
-    """Runs the stream over the turns that are there and returns the live facts: those of each conversation's last batch."""
+def stream_of(spark: SparkSession, source: str) -> DataFrame:
+    """A table, a file or a folder of them, as a stream."""
     schema = spark.read.parquet(source).schema
     folder, _, name = source.rpartition("/")
-    plain = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
-    single = plain.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(plain).isFile()
+    fs, at = file_of(spark, source)
     reader = spark.readStream.schema(schema)
-    turns = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(source)
-    at = f"{work_dir(spark)}/observe-{uuid.uuid4().hex}"
+    return reader.option("pathGlobFilter", name).parquet(folder) if fs.getFileStatus(at).isFile() else reader.parquet(source)
+
+
+def drain(rows: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there, and returns all that it gave, with the number of the batch. A batch that is tried again replaces what it wrote."""
+    spark = rows.sparkSession
+    at = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/live")
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows")
+
 
-    observe(turns, most).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    live = spark.read.parquet(f"{at}/live")
+def run_once(spark: SparkSession, source: str, most: int = C.max_entries, extracting: bool = False) -> DataFrame:
+    """Runs the stream over the turns that are there and returns the live facts: those of each conversation's last batch."""
+    live = drain(observe(stream_of(spark, source), most, extracting))
     last = live.groupBy("conv_id").agg(F.max("batch").alias("batch"))
     return live.join(last, ["conv_id", "batch"]).drop("batch")
+
+
+def keyed(turns: DataFrame, step, schema: str) -> DataFrame:
+    """A row for each (turn, role, text) and what step makes of it and its conversation's state, a JSON value that step changes and that is None at first."""
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {}
+        rows = []
+        for turn, role, text in pd.concat(list(batches)).sort_values("turn", kind="stable")[["turn", "role", "text"]].itertuples(index=False):
+            rows += [(key[0], turn, *r) for r in step(kept, turn, role, text or "")]
+        state.update((json.dumps(kept),))
+        yield pd.DataFrame(rows, columns=["conv_id", "turn", *(c.split()[0] for c in schema.split(", "))])
+
+    return turns.groupBy("conv_id").applyInPandasWithState(run, f"conv_id bigint, turn bigint, {schema}", "kept string", "append", GroupStateTimeout.NoTimeout)
+
+
+def previous_turn(extracting: bool):
+    """The fact-bearing turn before each one."""
+    def step(kept: dict, turn: int, role: str, text: str) -> list[tuple]:
+        facts = rules.said(role, text) if extracting else rules.sentences(text)
+        if not any(len(f[: C.max_chars]) >= C.min_chars for f in facts):
+            return []
+        before, kept["last"] = kept.get("last"), int(turn)
+        return [(before,)]
+
+    return step
+
+
+def running_names(kept: dict, turn: int, role: str, text: str) -> list[tuple]:
+    """How often each name of a turn has occurred up to and with it."""
+    names = rules.capitals(text)
+    for name in names:
+        kept[name] = kept.get(name, 0) + 1
+    return [(name, kept[name]) for name in dict.fromkeys(names)]
