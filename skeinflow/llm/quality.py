@@ -1,15 +1,16 @@
 """Quality filter: an interpolated modified Kneser-Ney bigram model of trusted text, and each document's perplexity under it.
 
 * Trusted rows are those labelled quality 1 and not toxic. Four fifths of them train; the others calibrate.
-* One pass turns every whole text into token ids of a public tokenizer (at most 65,534 of them, so a pair is one number; no
+* One pass turns every whole text into token ids of a public tokenizer (at most 65,534 of them, so a pair is one 32-bit number; no
   word is unknown). It writes blocks of about BLOCK_TOKENS tokens with the distinct pairs in each, and the training pairs' counts.
 * Pair counts are summed, and the discounts, continuation counts and context weights of modified Kneser-Ney come from them
   with aggregates; tables by one token id have at most 65,536 rows.
 * The distinct pairs of all blocks are joined with the counts, in shards by pair, which gives each pair's log-probability. They are
-  written out by input part, and the task that reads a block reads those of its own pairs too and adds them up by document. Neither
-  texts nor ids are shuffled, and the counts are never in one place.
+  written out by groups of 2**GROUP_BITS input parts, and the task that reads a block reads those of its own pairs too and adds them up by
+  document. Neither texts nor ids are shuffled, and the counts are never in one place.
 * A document is kept if its perplexity is no higher than what all but REJECT of the trusted calibration texts of its language have,
-  times MARGIN. A language with fewer than LEAST calibration texts uses all languages' texts.
+  times MARGIN. That limit is the mean of the language's own (weighted by its calibration texts) and all languages' (weighted as PRIOR texts), so
+  it moves from one to the other with what is known of the language, without a switch.
 
 A null or empty text has no token: its perplexity is null and it isn't kept. Null languages are one language. Null or repeated
 doc_ids are rows like any other (a null doc_id is never trusted). Without trusted rows nothing is rejected but empty texts.
@@ -29,22 +30,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, small_enough, staged
+from .common import in_arrow, new_path, slices, small_enough, staged
 from .tokens import default_path, tokenizer
 
-BLOCK_TOKENS = 2 << 20
+BLOCK_TOKENS = 8 << 20
+#: Pairs held by a task before they are made distinct.
+PAIRS_AT_ONCE = 1 << 20
 START = 65_535
 #: A block is its input part and a number below 2**PART_BITS.
 PART_BITS = 24
+GROUP_BITS = 4
 REJECT = 0.01
 MARGIN = 1.1
-LEAST = 20
+PRIOR = 20
 
 
 def pairs_of(ids: np.ndarray) -> np.ndarray:
     """The pairs of a document's ids, the first after the start mark."""
-    wide = ids.astype(np.int64)
-    return np.concatenate([[START], wide[:-1]]) << 16 | wide
+    wide = ids.astype(np.uint32)
+    return np.concatenate([np.array([START], np.uint32), wide[:-1]]) << np.uint32(16) | wide
+
+
+class Counts:
+    """Distinct pairs and how often they were added; what is held is made distinct whenever there is much of it."""
+
+    def __init__(self):
+        self.pairs, self.times, self.held = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0
+
+    def add(self, pairs: np.ndarray) -> None:
+        self.pairs.append(pairs)
+        self.times.append(np.ones(len(pairs), np.int64))
+        self.held += len(pairs)
+        if self.held > PAIRS_AT_ONCE:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        every, which = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        times = np.bincount(which, np.concatenate(self.times), len(every)).astype(np.int64)
+        self.pairs, self.times, self.held = [every], [times], 0
+        return every, times
 
 
 def blocks(path: str):
@@ -55,40 +79,33 @@ def blocks(path: str):
         part, made = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
         columns: list[list] = [[], [], [], []]
         ids: list[bytes] = []
-        size = 0
-
-        def done() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            every, learned, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for x, t in zip(ids, columns[2]):  # distinct pairs by document first: a block's pairs are never all in memory
-                pairs, times = np.unique(pairs_of(np.frombuffer(x, "<u4")), return_counts=True)
-                every.append(pairs)
-                if t == 1:
-                    learned.append(pairs)
-                    counts.append(times)
-            train, which = np.unique(np.concatenate(learned), return_inverse=True)
-            times = np.bincount(which, np.concatenate(counts), len(train)).astype(np.int64)
-            blob = pack.compress(np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes())
-            row = {"block": part << PART_BITS | made, "doc_ids": columns[0], "langs": columns[1], "trust": columns[2], "lengths": lengths, "ids": blob, "pairs": np.unique(np.concatenate(every)), "train": train, "times": times}
-            return row
-
-        def batch(row: dict, id_type: pa.DataType) -> pa.RecordBatch:
-            kinds = {"doc_ids": pa.list_(id_type), "langs": pa.list_(pa.string()), "trust": pa.list_(pa.int32()), "ids": pa.binary(), "block": pa.int64()}
+        every, learned, size = Counts(), Counts(), 0
+
+        def batch(id_type: pa.DataType) -> pa.RecordBatch:
+            train, times = learned.merge()
+            kinds = {"doc_ids": pa.list_(id_type), "langs": pa.list_(pa.string()), "trust": pa.list_(pa.int32()), "ids": pa.binary(), "block": pa.int64(), "pairs": pa.list_(pa.int32()), "train": pa.list_(pa.int32())}
+            row = {"block": part << PART_BITS | made, "doc_ids": columns[0], "langs": columns[1], "trust": columns[2], "lengths": columns[3], "ids": pack.compress(b"".join(ids)), "pairs": every.merge()[0].view(np.int32), "train": train.view(np.int32), "times": times}
             return pa.record_batch([pa.array([v], kinds.get(k, pa.list_(pa.int64()))) for k, v in row.items()], list(row))
 
         id_type = None
         for b in slices(batches):
             id_type = b.column(0).type
             for doc_id, text, lang, trust in zip(*(b.column(k).to_pylist() for k in range(4))):
-                ids.append(encode(text or ""))
-                for c, v in zip(columns, (doc_id, lang, trust)):
+                one = np.frombuffer(encode(text or ""), "<u4").astype("<u2")
+                ids.append(one.tobytes())
+                if len(one):
+                    pairs = pairs_of(one)
+                    every.add(np.unique(pairs))
+                    if trust == 1:
+                        learned.add(pairs)
+                for c, v in zip(columns, (doc_id, lang, trust, len(one))):
                     c.append(v)
-                size += len(ids[-1]) // 4
+                size += len(one)
                 if size >= BLOCK_TOKENS:
-                    yield batch(done(), id_type)
-                    made, size, ids, columns = made + 1, 0, [], [[], [], [], []]
+                    yield batch(id_type)
+                    made, size, ids, columns, every, learned = made + 1, 0, [], [[], [], [], []], Counts(), Counts()
         if ids:
-            yield batch(done(), id_type)
+            yield batch(id_type)
 
     return run
 
@@ -108,10 +125,10 @@ def scorer(folder: str):
                 block, doc_ids, langs, trust, lengths, ids = (b.column(j)[k] for j in range(6))
                 n = np.array(lengths.values)
                 flat = np.frombuffer(unpack.decompress(ids.as_py()), "<u2")
-                keys, logs = np.empty(0, np.int64), np.empty(0)
+                keys, logs = np.empty(0, np.uint32), np.empty(0)
                 if len(flat):
-                    found = pq.read_table(f"{at}/part={block.as_py() >> PART_BITS}", filesystem=files, columns=["pair", "logp"], filters=[("block", "=", block.as_py())], partitioning=None)
-                    keys, logs = found.column("pair").to_numpy(), found.column("logp").to_numpy()
+                    found = pq.read_table(f"{at}/parts={block.as_py() >> PART_BITS + GROUP_BITS}", filesystem=files, columns=["pair", "logp"], filters=[("block", "=", block.as_py())], partitioning=None)
+                    keys, logs = found.column("pair").to_numpy().view(np.uint32), found.column("logp").to_numpy()
                     order = np.argsort(keys)
                     keys, logs = keys[order], logs[order].astype(np.float64)
                 ends = np.cumsum(n)
@@ -143,8 +160,8 @@ def discount(column, d: list[float]):
 
 
 def log_probabilities(asked: DataFrame, counts: DataFrame, vocabulary: int) -> DataFrame:
-    """(pair, logp) for each distinct pair of asked (pair), by counts (pair, n). Public for tests."""
-    a, b = F.shiftright("pair", 16), F.col("pair").bitwiseAND(F.lit(65_535))
+    """asked (pair, ...) with logp, by counts (pair, n)."""
+    a, b = F.shiftrightunsigned("pair", 16), F.col("pair").bitwiseAND(F.lit(65_535))
     known = counts.select("pair", "n", a.alias("a"), b.alias("b"))
     d = discounts(counts, "n")
     after = known.groupBy("a").agg(F.sum("n").alias("total"), F.sum(discount(F.col("n"), d)).alias("spare"))
@@ -154,14 +171,14 @@ def log_probabilities(asked: DataFrame, counts: DataFrame, vocabulary: int) -> D
     types, rest = sums.t or 0, sums.s or 0.0
     uniform = 1.0 / (vocabulary + 1)
     if not types:
-        return asked.select("pair", F.lit(float(np.log(uniform))).alias("logp"))
+        return asked.withColumn("logp", F.lit(float(np.log(uniform))))
     low = before.select("b", ((F.col("kinds") - discount(F.col("kinds"), e)) / types + rest / types * uniform).alias("low"))
-    rows = asked.select("pair", a.alias("a"), b.alias("b")).join(known.select("pair", "n"), "pair", "left")
+    rows = asked.withColumns({"a": a, "b": b}).join(known.select("pair", "n"), "pair", "left")
     rows = rows.join(F.broadcast(after), "a", "left").join(F.broadcast(low), "b", "left")  # at most 65,536 rows each, whatever the corpus
     below = F.coalesce("low", F.lit(rest / types * uniform))
     n = F.coalesce("n", F.lit(0))
     p = F.when(F.col("total").isNull(), below).otherwise((n - discount(n, d)) / F.col("total") + F.col("spare") / F.col("total") * below)
-    return rows.select("pair", F.log(p).alias("logp"))
+    return rows.select(*asked.columns, F.log(p).alias("logp"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, path: str | None = None) -> DataFrame:
@@ -170,17 +187,17 @@ def perplexities(docs: DataFrame, labels: DataFrame, path: str | None = None) ->
     ids = staged(ids.select("doc_id", F.when(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0, 2).otherwise(1).alias("trust")), "trusted")
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids) if small_enough(ids) else ids, "doc_id", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"block bigint, doc_ids array<{kind}>, langs array<string>, trust array<int>, lengths array<bigint>, ids binary, pairs array<bigint>, train array<bigint>, times array<bigint>"
+    shape = f"block bigint, doc_ids array<{kind}>, langs array<string>, trust array<int>, lengths array<bigint>, ids binary, pairs array<int>, train array<int>, times array<bigint>"
     path = path or default_path()
-    made = staged(rows.select("doc_id", "text", "lang", F.coalesce("trust", F.lit(0)).alias("trust")).mapInArrow(blocks(path), shape), "blocks")
+    made = staged(in_arrow(rows.select("doc_id", "text", "lang", F.coalesce("trust", F.lit(0)).alias("trust")), blocks(path), shape), "blocks")
     counts = made.select(F.explode(F.arrays_zip("train", "times")).alias("x")).groupBy(F.col("x.train").alias("pair")).agg(F.sum("x.times").alias("n"))
     counts = staged(counts, "counts")
     each = made.select("block", F.explode("pairs").alias("pair"))
-    logs = log_probabilities(each.select("pair").distinct(), counts, tokenizer(path).whole.get_vocab_size())
-    asked = each.join(logs, "pair").select("block", "pair", F.col("logp").cast("float").alias("logp"), F.shiftright("block", PART_BITS).alias("part"))
+    asked = log_probabilities(each, counts, tokenizer(path).whole.get_vocab_size())
+    asked = asked.select("block", "pair", F.col("logp").cast("float").alias("logp")).repartition(F.shiftright("block", PART_BITS))
     folder = new_path(docs.sparkSession, "logs")
-    asked.repartition("part").sortWithinPartitions("part", "block").write.option("compression", "zstd").partitionBy("part").parquet(folder)
-    scored = made.select("block", "doc_ids", "langs", "trust", "lengths", "ids").mapInArrow(scorer(folder), f"doc_id {kind}, lang string, trust int, n_tokens bigint, nll double")
+    asked.withColumn("parts", F.shiftright("block", PART_BITS + GROUP_BITS)).sortWithinPartitions("parts", "block", "pair").write.option("compression", "zstd").partitionBy("parts").parquet(folder)
+    scored = in_arrow(made.select("block", "doc_ids", "langs", "trust", "lengths", "ids"), scorer(folder), f"doc_id {kind}, lang string, trust int, n_tokens bigint, nll double")
     return staged(scored, "scored")
 
 
@@ -189,8 +206,9 @@ def quality(docs: DataFrame, labels: DataFrame, path: str | None = None, reject:
     rows = perplexities(docs, labels, path).withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(F.col("nll") / F.col("n_tokens"))))
     check = rows.where("trust = 2 and perplexity is not null")
     cut = F.percentile_approx("perplexity", F.lit(1 - reject), F.lit(10_000))
-    by_lang = check.groupBy(F.col("lang").alias("l")).agg(cut.alias("cut"), F.count(F.lit(1)).alias("m")).where(F.col("m") >= LEAST)
-    overall = check.agg(cut.alias("cut_all"))
+    by_lang = check.groupBy(F.col("lang").alias("l")).agg(F.log(cut).alias("cut"), F.count(F.lit(1)).alias("m"))
+    overall = check.agg(F.log(cut).alias("cut_all"))
     out = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(overall))  # overall: one row
-    limit = F.coalesce("cut", "cut_all") * margin
+    m = F.coalesce("m", F.lit(0))
+    limit = F.exp((m * F.coalesce("cut", F.lit(0.0)) + PRIOR * F.col("cut_all")) / (m + PRIOR)) * margin
     return out.select("doc_id", "lang", "n_tokens", "perplexity", limit.alias("threshold"), (F.col("perplexity").isNotNull() & (limit.isNull() | (F.col("perplexity") <= limit))).alias("kept"))
