@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT as C
-from ..functions.dialect import DUCK
+from ..functions.dialect import DUCK, SPARK
+from ..operators import rules
+from ..operators.duel import duel
 from ..operators.judge import judge
 from ..sources import memory
-from ..sources.tables import table, work_dir
+from ..sources.tables import run_sql, table, work_dir
 from . import fixtures as X
 from .catalog import PLANS, Plan, plan
 from .custom import FILES, Custom, entries, src_json
@@ -180,3 +182,26 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLANS["br_llm_judge"] = PLANS["src_llm"] = Custom("br_llm_judge", judged)
+
+
+def word_client(text: str) -> str:
+    """A stand-in for a model: answers with the context's line that shares most words with the question, and prefers the answer that shares more."""
+    kind, question, *lines = text.split("\n")
+
+    def shared(line: str) -> int:
+        return len(set(rules.words(question)) & set(rules.words(line)))
+
+    if kind == "answer":
+        return max(lines, key=shared) if any(map(shared, lines)) else "I don't know"
+    return "1" if shared(lines[0]) >= shared(lines[1]) else "2"
+
+
+def interrogated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of 300 against packs of 30 characters."""
+    packs = [run_sql(spark, sf_dir, f"WITH {answers(SPARK, b)} SELECT a.id, question, pack AS {name} FROM asked a LEFT JOIN packs p ON a.id = p.id") for b, name in ((300, "one"), (30, "two"))]
+    return duel(packs[0].join(packs[1].drop("question"), "id"), word_client)
+
+
+#: By hand: the small pack has an answer only where a fact has at most 30 characters, so the judge prefers the large one, or its order decides.
+PLANS["ev_interrogate"] = Custom("ev_interrogate", interrogated)
+PLANS["ev_imitation"] = Custom("ev_imitation", lambda spark, sf_dir: interrogated(spark, sf_dir).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if("grounded").alias("grounded")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..config import DEFAULT as C
 from ..functions import text as T
-from ..sources.tables import shared
+from ..operators import vectors as vectors_
+from ..sources.tables import SHARED, shared, table
 from . import fixtures as X
 from .catalog import PLANS, Plan, plan
 from .retrieve import blank, fold, importances, joined, kept, memory, packed, queries, reserve, scores
@@ -235,11 +236,31 @@ def br_affordance(d):
 
 # vectors
 
+MOST_NEAR = 30
+
+
+def found_near(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors_.nearest(vectors, vectors.where("vec_id % 50 = 0"), MOST_NEAR)
+
+
+SHARED["skeinflow_s_near"] = found_near
+
+
 def nearest(d, k):
+    if d.name == "spark":
+        return f"near AS (SELECT * FROM skeinflow_s_near WHERE r <= {k})"
     return f"""near AS (SELECT * FROM (SELECT q.vec_id AS q, v.vec_id AS v, q.label AS ql, v.label AS vl, {scaled(d.dot('q.embedding', 'v.embedding'))} AS cosine,
        row_number() OVER (PARTITION BY q.vec_id ORDER BY {scaled(d.dot('q.embedding', 'v.embedding'))} DESC, v.vec_id) AS r FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings v ON q.vec_id <> v.vec_id) z WHERE r <= {k})"""
 
 
+@plan("embeddings")
+def br_mean_pool(d):
+    """Masked mean of states: four vectors in a row are a text's states, of which those with a label divisible by 3 are padding. Components in millionths."""
+    states = f"SELECT CAST(floor(vec_id / 4) AS BIGINT) AS item, {d.pos_explode('embedding', 'pos', 'x')} FROM embeddings WHERE label % 3 <> 0"
+    return f"SELECT item, CAST(pos AS BIGINT) AS pos, {scaled(d.sum_sorted('CAST(x AS DOUBLE)') + ' / count(*)')} AS pooled FROM ({states}) s GROUP BY item, pos"
+
+
 @plan("embeddings")
 def br_embed_topk(d): return f"WITH {nearest(d, C.bridge_k)} SELECT q, v, cosine, r FROM near"
 
@@ -279,6 +300,15 @@ def answers(d, budget=C.budget):
     return f"asked AS (SELECT * FROM {asked} a), facts AS (SELECT * FROM {facts} f), packs AS ({packs}), judged AS (SELECT a.id, a.kind, b.id AS j, coalesce({d.any('b.keys', 'k', d.has('pack', 'k'))}, FALSE) AS hit FROM asked a JOIN asked b ON b.id > 0 LEFT JOIN packs p ON a.id = p.id)"
 
 
+@plan()
+def br_arms(d):
+    """Hits of each arm: the packs alone, with the affordance web's proposals, and arms that need a model, which isn't there."""
+    added = f"SELECT a.id, max(CASE WHEN {d.any('q.keys', 'k', d.has('lower(f.fact)', 'k'))} THEN 1 ELSE 0 END) AS hit FROM ({br_affordance(d)}) a JOIN asked q ON a.id = q.id JOIN facts f ON f.seq = a.seq + 1 GROUP BY a.id"
+    own = "SELECT j.id, CASE WHEN j.hit THEN 1 ELSE 0 END AS plain, greatest(CASE WHEN j.hit THEN 1 ELSE 0 END, coalesce(w.hit, 0)) AS web FROM judged j LEFT JOIN added w ON j.id = w.id WHERE j.id = j.j"
+    lines = " UNION ALL ".join(f"SELECT '{arm}' AS arm, {hits} AS hits, {n} AS asked_n, '{status}' AS status FROM own" for arm, hits, n, status in (("none", "CAST(sum(plain) AS BIGINT)", "count(*)", "ran"), ("affordance", "CAST(sum(web) AS BIGINT)", "count(*)", "ran"), ("judge", "CAST(NULL AS BIGINT)", "count(*)", "SKIPPED")))
+    return f"WITH {answers(d)}, added AS ({added}), own AS ({own}) {lines}"
+
+
 @plan()
 def ev_containment(d): return f"WITH {answers(d)} SELECT id, hit FROM judged WHERE id = j"
 

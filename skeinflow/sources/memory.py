@@ -19,7 +19,7 @@ def save(docs: DataFrame, path: str) -> None:
     """
     spark = docs.sparkSession
     old = generations(spark, path)
-    docs.select(F.to_json(F.struct("conv_id", "doc")).alias("value")).write.text(f"{path}/g{len(old) and int(old[-1][1:]) + 1:08d}-{uuid.uuid4().hex}")
+    docs.select(F.to_json(F.struct("conv_id", "doc")).alias("value")).write.text(f"{path}/g{len(old) and int(old[-1][1:9]) + 1:08d}-{uuid.uuid4().hex}")
     for g in generations(spark, path)[:-2]:
         fs, at = file_of(spark, f"{path}/{g}")
         fs.delete(at, True)
