@@ -27,7 +27,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.format_pairs(chat.branches(table(spark, sf_dir, "conversations")))
-    return out.withColumn("conv_id", F.col("pair_id").cast("bigint")).drop("pair_id")
+    spans = {n: F.array_join(F.transform(n, lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",") for n in ("chosen_spans", "rejected_spans")}
+    return out.withColumns(spans | {"conv_id": F.col("pair_id").cast("bigint")}).drop("pair_id")
 
 
 ARRIVALS = 8
@@ -39,6 +40,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shards.ShardStore(spark, new_path(spark, "shards"), docs.schema)
     store.append_arrivals(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
     store.compact()
+    store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -67,24 +69,29 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_qua
 ORACLE_SQL = {
     "op4_chat_format": r"""
 WITH c AS (SELECT DISTINCT coalesce(conv_id::VARCHAR, '') AS key, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn DESC, text DESC) AS back FROM c WHERE role = 'assistant'),
+a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn DESC, sha256(text) DESC) AS back FROM c WHERE role = 'assistant'),
 l AS (SELECT key, turn AS last_turn FROM a WHERE back = 1),
 e AS (SELECT key, text AS old FROM a WHERE back = 2),
 t AS (SELECT DISTINCT * FROM (
   SELECT key, 'chosen' AS side, turn, role, text FROM c
   UNION ALL SELECT c.key, 'rejected', turn, role, text FROM c LEFT JOIN l ON c.key = l.key WHERE last_turn IS NULL OR turn < last_turn
   UNION ALL SELECT l.key, 'rejected', last_turn, 'assistant', coalesce(old, '') FROM l LEFT JOIN e ON l.key = e.key)),
-n AS (SELECT *, row_number() OVER (PARTITION BY key, side ORDER BY turn, role, text) AS pos, row_number() OVER (PARTITION BY key, side, turn ORDER BY role, text) - 1 AS k FROM t),
-d AS (SELECT coalesce(x.key, y.key) AS key, min(coalesce(x.turn, y.turn) * 1000 + coalesce(x.k, y.k)) AS stop
-      FROM (SELECT * FROM n WHERE side = 'chosen') x FULL JOIN (SELECT * FROM n WHERE side = 'rejected') y ON x.key = y.key AND x.turn = y.turn AND x.k = y.k
+n AS (SELECT *, row_number() OVER (PARTITION BY key, side ORDER BY turn, role, sha256(text)) - 1 AS pos FROM t),
+d AS (SELECT coalesce(x.key, y.key) AS key, min(coalesce(x.pos, y.pos)) AS stop
+      FROM (SELECT * FROM n WHERE side = 'chosen') x FULL JOIN (SELECT * FROM n WHERE side = 'rejected') y ON x.key = y.key AND x.pos = y.pos
       WHERE x.key IS NULL OR y.key IS NULL OR x.role <> y.role OR x.text <> y.text GROUP BY 1),
-p AS (SELECT n.*, CASE WHEN d.stop IS NULL OR n.turn * 1000 + n.k < d.stop THEN 'prompt' ELSE side END AS part, '<|im_start|>' || role || chr(10) AS head FROM n LEFT JOIN d ON n.key = d.key),
-r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM p WHERE part <> 'prompt' OR side = 'chosen'),
-s AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY key, part ORDER BY turn, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r)
-SELECT TRY_CAST(key AS BIGINT) AS conv_id, part, turn, k, role, rendered, start, start + length(rendered) AS stop,
-       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(head) END AS train_start,
-       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(rendered) - 1 END AS train_stop
-FROM s
+p AS (SELECT n.*, CASE WHEN d.stop IS NULL OR n.pos < d.stop THEN 'prompt' ELSE side END AS part, CASE WHEN d.stop IS NULL OR n.pos < d.stop THEN n.pos ELSE n.pos - d.stop END AS place,
+             '<|im_start|>' || role || chr(10) AS head FROM n LEFT JOIN d ON n.key = d.key),
+r AS (SELECT *, place // 256 AS segment, head || text || '<|im_end|>' || chr(10) AS rendered FROM p WHERE part <> 'prompt' OR side = 'chosen'),
+s AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY key, part, segment ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r),
+m AS (SELECT *, CASE WHEN role = 'assistant' THEN (start + length(head)) || ':' || (start + length(rendered) - 1) END AS span FROM s)
+SELECT TRY_CAST(key AS BIGINT) AS conv_id, segment,
+       coalesce(string_agg(rendered, '' ORDER BY place) FILTER (WHERE part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(rendered, '' ORDER BY place) FILTER (WHERE part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(rendered, '' ORDER BY place) FILTER (WHERE part = 'rejected'), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY place) FILTER (WHERE part = 'chosen'), '') AS chosen_spans,
+       coalesce(string_agg(span, ',' ORDER BY place) FILTER (WHERE part = 'rejected'), '') AS rejected_spans
+FROM m GROUP BY key, segment
 """,
     "op5_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op8_warc": r"""
