@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, keep_or_drop, staged
+from .common import SPACES, keep_keys, keep_or_drop, key_of, staged
 
 #: A chunk ends after a vowel, one of s to v, and a comma or full stop, or such a pair before an upper-case letter; 256 to 4096 characters.
 CHUNK = r"(?s).{255,4093}?[aeiou][nr-v][.,A-Z]|.{1,4096}"
@@ -35,10 +35,10 @@ def chunks(text: Column) -> Column:
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_points, text_sha256, recipe): one row per row of docs, written and read back; row tells repeated rows apart."""
-    norm = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised(F.col("text")).alias("norm"))
-    parts = norm.select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)).alias("parts"))
-    hashed = parts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_points", "text_sha256", F.transform("parts", lambda c: F.xxhash64(c)).alias("recipe"))
+    """(row, k1, k2, doc_id, n_points, text_sha256, recipe): one row per row of docs, written and read back; row tells repeated rows apart, k1 and k2 are of doc_id and text."""
+    norm = docs.select("doc_id", *key_of("doc_id", "text"), F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised(F.col("text")).alias("norm"))
+    parts = norm.select("doc_id", "k1", "k2", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)).alias("parts"))
+    hashed = parts.select(F.monotonically_increasing_id().alias("row"), "k1", "k2", "doc_id", "n_points", "text_sha256", F.transform("parts", lambda c: F.xxhash64(c)).alias("recipe"))
     return staged(hashed, "recipes")
 
 
@@ -63,14 +63,14 @@ def verified(docs: DataFrame, rows: DataFrame) -> DataFrame:
     # number of each chunk by its text, joined in by (hash, text): exact, however unlikely
     parts = docs.select("doc_id", F.posexplode(chunks(F.col("text"))).alias("pos", "chunk")).distinct()
     numbered = parts.withColumn("hash", F.xxhash64("chunk")).join(clash.select("hash").distinct(), "hash", "left_semi").join(clash, ["hash", "chunk"])
-    named = rows.select("row", "doc_id", "n_points", "text_sha256", F.posexplode_outer("recipe").alias("pos", "hash"))
+    named = rows.select("row", "k1", "k2", "doc_id", "n_points", "text_sha256", F.posexplode_outer("recipe").alias("pos", "hash"))
     # a doc_id that occurs with several texts has a number for each: (doc_id, pos, hash) may then be ambiguous, so the row's own text_sha256 decides
     sha = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"), F.posexplode(chunks(F.col("text"))).alias("pos", "chunk")).distinct()
     numbered = sha.withColumn("hash", F.xxhash64("chunk")).join(clash, ["hash", "chunk"]).select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("s"), F.col("pos").alias("p"), "number")
     full = named.join(numbered, named.doc_id.eqNullSafe(numbered.d) & (named.text_sha256 == numbered.s) & (named.pos == numbered.p), "left")
     item = F.struct("pos", F.struct("hash", F.coalesce("number", F.lit(0)).alias("number")).alias("id"))
-    back = full.groupBy("row", "doc_id", "n_points", "text_sha256").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
-    return back.select("row", "doc_id", "n_points", "text_sha256", F.transform("items", lambda x: x["id"]).alias("recipe"))
+    back = full.groupBy("row", "k1", "k2", "doc_id", "n_points", "text_sha256").agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
+    return back.select("row", "k1", "k2", "doc_id", "n_points", "text_sha256", F.transform("items", lambda x: x["id"]).alias("recipe"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -78,6 +78,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Of equal texts the row with the most code points in the original text stays, then the smallest doc_id; see the module's text for nulls and ties.
     """
+    return decided(docs).drop("k1", "k2")
+
+
+def decided(docs: DataFrame) -> DataFrame:
+    """exact_duplicates with each row's key."""
     rows = recipes(docs)
     known = verified(docs, rows)
     last = F.lit(-(2**63)).cast("bigint")
@@ -87,16 +92,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     group = part.groupBy("recipe").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
     back = group.select("recipe", "best", "group_size", F.explode("salts").alias("salt"))
     out = salted.join(back, ["recipe", "salt"])
-    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.minus_row")).alias("kept"), "text_sha256", F.size("recipe").alias("chunks"))
+    return out.select("k1", "k2", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.minus_row")).alias("kept"), "text_sha256", F.size("recipe").alias("chunks"))
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_duplicates drops; same columns."""
-    found = staged(exact_duplicates(docs).select("doc_id", "kept"), "exact")
-    per_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = staged(per_id.where("not kept and doc_id is not null").select("doc_id"), "dropped")
-    out = keep_or_drop(docs, gone, "left_anti")
-    if per_id.where("n > 1 or (doc_id is null and not kept)").limit(1).count():
-        out = out.withColumn("__norm", normalised(F.col("text"))).dropDuplicates(["doc_id", "__norm"]).drop("__norm")
-    return out
-
+    return keep_keys(docs, staged(decided(docs).select("k1", "k2", F.col("kept").alias("stays")), "exact"), "doc_id", "text")
