@@ -1,9 +1,9 @@
 """Corpus pipeline over documents: language ID, exact dedup, near dedup, decontamination, packing.
 
 Each stage gets all rows that its predecessor kept, and its decisions take effect. The stages but the last return the columns of
-documents; their rows are written as Parquet and read again as the next stage's input. What a stage does with nulls, repeats and
-empty tables is what its operator does; rows with a null doc_id are never dropped as copies, near copies or leaks, but their text may
-be rejected by the language stage.
+documents; their rows are written as Parquet and read again as the next stage's input. Stages drop rows, not ids: rows that share a
+doc_id, or have none, are decided on one by one, and of rows that are equal in id and text one stays. What a stage does with nulls, repeats and
+empty tables is what its operator does.
 """
 
 from __future__ import annotations
