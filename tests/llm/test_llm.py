@@ -77,6 +77,15 @@ def test_near(docs, rows, none):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {c if c is not None else d for d, n, c in brute.near(rows)}
 
 
+def test_stages_drop_rows_not_ids(spark):
+    """Rows that share an id, or have none, are decided on one by one."""
+    rng = random.Random(21)
+    a, b = prose(rng, 40), prose(rng, 40)
+    d = spark.createDataFrame([(1, a), (2, a + " x"), (2, b), (2, b), (None, a.replace(" ", "  ")), (None, b + " y"), (None, None), (None, None), (3, "")], "doc_id bigint, text string")
+    assert as_set(near.drop_near(d), "doc_id", "text") == sorted([(1, a), (2, b), (None, None), (None, None), (3, "")], key=str)
+    assert as_set(exact.drop_exact(d), "doc_id", "text") == sorted([(None, a.replace(" ", "  ")), (2, a + " x"), (2, b), (None, b + " y"), (3, "")], key=str)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 800).astype(np.uint64)
@@ -168,7 +177,7 @@ def test_chat(spark):
     turns = [(1, s, k, r, t) for s, last in (("chosen", "good"), ("rejected", "bad")) for k, (r, t) in enumerate([("system", "s"), ("user", "u"), ("assistant", last)])]
     turns += [(2, "chosen", 0, "user", "same"), (2, "rejected", 0, "user", "same"), (3, "chosen", 0, "user", None), (None, "rejected", None, None, "x"), (1, "chosen", 2, "assistant", "good")]
     df = spark.createDataFrame([(*t, "clash") for t in turns], "pair_id bigint, side string, turn bigint, role string, text string, part string")
-    got = chat.assemble(chat.format_pairs(df))
+    got = chat.format_pairs(df)
     by = {r.pair_id: r for r in got.collect()}
     head = "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nu<|im_end|>\n"
     assert by["1"].prompt == head and by["1"].chosen == "<|im_start|>assistant\ngood<|im_end|>\n" and by["1"].rejected == "<|im_start|>assistant\nbad<|im_end|>\n"
@@ -178,6 +187,25 @@ def test_chat(spark):
     assert chat.format_pairs(df.where("false")).count() == 0
 
 
+def test_chat_of_long_and_hot_pairs(spark, monkeypatch):
+    """One pair has a third of all turns, many of them without a number; its rows follow each other and hold every turn once."""
+    monkeypatch.setattr(chat, "BROADCAST_PLACES", 0)
+    rng = random.Random(17)
+    turns = [(7, s, k, ("user", "assistant")[k % 2], f"t{k}" if k < 700 or s == "chosen" else f"other {k}") for s in ("chosen", "rejected") for k in range(1500)]
+    turns += [(None, "chosen", None, "user", f"n{k}") for k in range(600)] + [(k, s, j, "assistant", f"{k} {j} {s if j == 3 else ''}") for k in range(20, 220) for s in ("chosen", "rejected") for j in range(5)]
+    rng.shuffle(turns)
+    got = chat.format_pairs(spark.createDataFrame(turns + turns[:50], "pair_id bigint, side string, turn bigint, role string, text string")).collect()
+    long = sorted((r for r in got if r.pair_id == "7"), key=lambda r: r.segment)
+    show = lambda k, t: f"<|im_start|>{('user', 'assistant')[k % 2]}\n{t}<|im_end|>\n"
+    assert "".join(r.prompt for r in long) == "".join(show(k, f"t{k}") for k in range(700))
+    assert "".join(r.chosen for r in long) == "".join(show(k, f"t{k}") for k in range(700, 1500)) and "".join(r.rejected for r in long) == "".join(show(k, f"other {k}") for k in range(700, 1500))
+    assert [len(r.prompt.split("<|im_end|>")) - 1 for r in long] == [256, 256, 188, 0]
+    assert [r.rejected[a:b] for r in long for a, b in r.rejected_spans] == [f"other {k}<|im_end|>" for k in range(701, 1500, 2)]
+    loose = [r for r in got if r.pair_id is None]
+    assert sorted("".join(r.chosen for r in loose).replace("<|im_start|>user\n", "").replace("<|im_end|>", "").split()) == sorted(f"n{k}" for k in range(600))
+    assert len(got) == 4 + 3 + 200 and all(r.prompt and r.chosen and r.rejected for r in got if r.pair_id not in ("7", None))
+
+
 def test_shards(spark, docs):
     store = shards.ShardStore(spark, new_path(spark, "store"), docs.schema, target_bytes=60_000, fanout=2)
     assert store.read().count() == 0
@@ -187,7 +215,7 @@ def test_shards(spark, docs):
         store.append(docs.where(F.pmod(F.hash("text"), F.lit(6)) == k).coalesce(1))
     before = len(store.manifest()["shards"])
     old = store.manifest()
-    store.compact(keep_old=True)
+    store.compact()
     assert len(store.manifest()["shards"]) < before and store.manifest()["version"] > old["version"]
     assert as_set(store.read(), *docs.columns) == as_set(docs, *docs.columns) == as_set(store.read(old["version"]), *docs.columns)
     with pytest.raises(RuntimeError):
@@ -195,6 +223,41 @@ def test_shards(spark, docs):
     assert store.vacuum() >= before and as_set(store.read(), *docs.columns) == as_set(docs, *docs.columns)
 
 
+@pytest.mark.parametrize("size", [33, 40, 50, 60])
+def test_no_tier_is_stuck(spark, monkeypatch, size):
+    """100 shards of a quarter to half the target, on paper: merged shards have the sum of their sizes."""
+    store = shards.ShardStore(spark, new_path(spark, "store"), spark.range(1).schema, target_bytes=128)
+    store.commit([{"file": f"data/{k}", "bytes": size} for k in range(100)], set())
+    while due := store.runs():
+        for run in due:
+            store.commit([{"file": f"data/{run[0]['file'][5:]}m", "bytes": shards.size_of(run)}], {s["file"] for s in run})
+    sizes = sorted(s["bytes"] for s in store.manifest()["shards"])
+    assert sum(sizes) == 100 * size and all(96 <= x <= 128 for x in sizes[1:])
+
+
+def test_two_writers_and_arrivals(spark):
+    path = new_path(spark, "store")
+    d = spark.createDataFrame([(k, f"t{k}", None if k == 3 else k % 3) for k in range(12)], "id bigint, text string, __arrival int")
+    one, two = (shards.ShardStore(spark, path, d.schema, fanout=2) for _ in range(2))
+    old, raced = one.manifest, []
+
+    def late(version=None):  # the other writer commits between this one's look and its commit
+        now = old(version)
+        if not raced:
+            raced.append(two.append(d.where("id < 5")))
+        return now
+
+    one.manifest = late
+    assert one.append(d.where("id >= 5"))["version"] == 2 and raced[0]["version"] == 1
+    assert as_set(two.read(), *d.columns) == as_set(d, *d.columns) and two.read(1).count() == 5
+    made = two.append_arrivals(d, F.col("__arrival"))
+    assert [m["version"] for m in made] == [3, 4, 5, 6] and as_set(two.read(6), "id") == sorted([(k,) for k in range(12)] * 2, key=str)
+    assert two.read(3).where("id % 3 = 0").count() == 4 + 3 and two.read(6).where("__arrival is null").count() == 2
+    before = two.manifest()["version"]
+    assert two.compact()["version"] > before and two.read(before).count() == 24 == two.read().count()
+    assert two.vacuum() > 0 and two.vacuum() == 0 and two.read().count() == 24
+
+
 def test_language(spark, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.languages(d).toPandas().merge(d.select("doc_id", "lang").toPandas(), on="doc_id")
@@ -209,6 +272,33 @@ def test_language(spark, none):
     assert langid.keep_identified(d.withColumn("score", F.lit("x"))).columns == [*d.columns, "score"]
 
 
+def test_language_scores_against_brute_force(spark, monkeypatch):
+    """The scores of a text are those of the mean of all its features' embeddings, however long it is and wherever the parts of a batch end; the sample doesn't depend on partitions."""
+    rng = random.Random(23)
+    fr = ["le", "de", "maison", "rivière", "être", "chanson", "peut", "voilà", "jardin", "était"]
+    rows = [(k, " ".join(rng.choice(WORDS if k % 2 else fr) for _ in range(rng.randrange(3, 60))), "en" if k % 2 else "fr") for k in range(400)]
+    rows += [(None, "the river and the stone", "en"), (7, rows[7][1], "en"), (7, rows[8][1], "fr"), (900, " ".join(rng.choice(fr) for _ in range(40_000)), None), (901, None, "en"), (902, "", "fr"), (903, "12 %", None)]
+    d = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id bigint, text string, lang string, score double")
+    model, again = langid.fit(d), langid.fit(d.repartition(7))
+    assert model.languages == ["en", "fr"] and np.array_equal(model.parts, again.parts) and model.temperature == again.temperature
+    monkeypatch.setattr(langid, "HASHED_AT_ONCE", 1000)
+    got = {}
+    for b in langid.predict(model)(iter([langid.pa.RecordBatch.from_pylist([{"doc_id": r[0], "text": r[1]} for r in rows])])):
+        for i, r in enumerate(b.to_pylist()):
+            got[len(got)] = r
+    for i, (_, text, _) in enumerate(rows):
+        f = [x for w in (text or "").split() for x in langid.features(w)]
+        if not f:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and got[i]["rejected"]
+            continue
+        z = model.parts[f, :2].astype(np.float64).mean(axis=0) + model.bias
+        p = langid.softmax(z / model.temperature)
+        assert got[i]["lang_pred"] == model.languages[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-4
+    out = langid.languages(d).collect()
+    assert len(out) == len(rows) and sum(r.doc_id is None for r in out) == 1 and sum(r.doc_id == 7 for r in out) == 3 and not any(r.held_out for r in out if r.doc_id is None)
+    assert np.mean([r.lang_pred == dict((x[0], x[2]) for x in rows)[r.doc_id] for r in out if r.doc_id is not None and r.doc_id < 400 and r.doc_id != 7]) > 0.97
+
+
 def test_quality_against_brute_force(spark):
     rng = random.Random(5)
     t = tokenizer(default_path())
@@ -252,6 +342,18 @@ def test_quality_against_brute_force(spark):
     assert quality.quality(d.where("false"), labels).count() == 0
 
 
+def test_quality_of_odd_rows(spark):
+    """Null and repeated ids, empty and very long texts, clashing columns, and a pair that every document has."""
+    rng = random.Random(31)
+    rows = [(None, "the river and the stone"), (5, prose(rng, 20)), (5, prose(rng, 30)), (5, None), (6, "the of " * 60_000), (7, ""), *((10 + k, "the of " + prose(rng, 20)) for k in range(40))]
+    d = spark.createDataFrame([(*r, "en", "x", 1.5) for r in rows], "doc_id bigint, text string, lang string, pair string, logp double")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(5, 50)] + [(5, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = quality.quality(d, labels).collect()
+    assert len(got) == len(rows) and sum(r.doc_id == 5 for r in got) == 3 and sum(r.doc_id is None for r in got) == 1
+    assert {r.doc_id: r.n_tokens for r in got}[6] >= 120_000 and not any(r.kept for r in got if not r.n_tokens) and sum(r.kept for r in got) > 35
+    assert quality.quality(d, labels.where("false")).where("kept").count() == len(rows) - 2  # without trusted rows only empty texts go
+
+
 def test_decontamination(spark, none):
     rng = random.Random(6)
     items = [(k, prose(rng, 30)) for k in range(12)] + [(90, "and the"), (91, None), (92, "")]
@@ -311,6 +413,38 @@ def test_decontamination_of_long_items(spark):
     assert got == {(g + k, k) for g in (1000, 2000) for k in range(8)}
 
 
+def test_decontamination_from_15_to_1000_words(spark):
+    """Verbatim items of any length, one that a third of all documents have with a word left out, and ids of any type; clean rows stay although they share an id with a leak."""
+    rng = random.Random(12)
+    pick = lambda n: [rng.choice(WORDS) + str(rng.randrange(300)) for _ in range(n)]
+    lengths = [15, 16, 25, 40, 64, 65, 120, 200, 300, 400, 600, 900, 1000]
+    items = [pick(n) for n in lengths]
+    wide = pick(30)
+    docs = [(str(k), " ".join(pick(rng.randrange(5, 250)))) for k in range(120)]
+    docs += [("leak", " ".join(pick(rng.randrange(40)) + w + pick(rng.randrange(40)))) for w in items]
+    docs += [(f"wide{k}", " ".join(pick(50) + wide[: k % 30] + wide[k % 30 + 1 :] + pick(50))) for k in range(60)] + [("leak", "entirely clean words here")]
+    rows = spark.createDataFrame(docs, "doc_id string, text string")
+    bench = spark.createDataFrame([(f"i{k}", " ".join(w)) for k, w in enumerate([*items, wide])], "item_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(rows, bench).collect()}
+    brute_force = set()
+    for d, text in docs:
+        for k, w in enumerate([*items, wide]):
+            if decontaminate.lcs(w, text.split()) >= 0.8 * len(w):
+                brute_force.add((d, f"i{k}"))
+    assert len(brute_force) == len(items) + 60 and got == brute_force
+    left = decontaminate.drop_leaks(rows, bench)
+    assert sorted(r.doc_id for r in left.collect()) == sorted([*(str(k) for k in range(120)), "leak"])
+
+
+def test_decontamination_in_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)
+    rng = random.Random(13)
+    items = [prose(rng, 30) for _ in range(8)]
+    docs = [(k, prose(rng, 100)) for k in range(40)] + [(100 + k, prose(rng, 20) + " " + t) for k, t in enumerate(items)] + [(100, prose(rng, 9000) + " " + items[7])] * 2
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")).collect())
+    assert got == sorted([*((100 + k, k) for k in range(8)), (100, 7), (100, 7)])
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
@@ -354,3 +488,37 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             assert len(have) > 0.9 * len(now)
         now = [(r.doc_id, r.text) for r in frame.collect()]
     assert set(r.doc_id for r in p.STAGES[-1][1](spark, frame, SF).collect()) == {i for i, _ in now}
+
+
+def test_pipeline_of_odd_rows(spark, rows, docs, tmp_path):
+    """Nulls, repeated ids and rows, clashing columns, and no rows at all, through run()."""
+    import corpus_pipeline as p
+
+    rng = random.Random(41)
+    leak = prose(rng, 30)
+    more = spark.createDataFrame([(9000, prose(rng, 40) + " " + leak, "en", "src", 1, 1, 2, "x"), (9000, prose(rng, 50), "en", "src", 1, 1, 2, "x")], docs.schema)
+    for name, frame in (("some", docs.unionByName(more)), ("none", docs.where("false"))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, leak), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
+    now = frame = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        before = [(r.doc_id, r.text) for r in now.collect()]
+        now = staged(stage(spark, now, f"{tmp_path}/some"), name)
+        after = sorted(((r.doc_id, r.text) for r in now.collect()), key=str)
+        assert now.columns == frame.columns
+        if name == "exact_dedup":
+            groups = {}
+            for d, t in before:
+                key = "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
+                groups.setdefault(key, []).append((-len(t or ""), d is None, d or 0, (d, t)))
+            assert after == sorted((min(g, key=lambda x: x[:3])[3] for g in groups.values()), key=str)
+        elif name == "near_dedup":
+            components = {}
+            for (d, t), (_, _, c) in zip(before, brute.near([(k, t) for k, (_, t) in enumerate(before)])):
+                components.setdefault(c, []).append((d is None, d or 0, (d, t)))
+            assert len(after) == len(components) and all((r[0] is None, r[0] or 0) in [min(x[:2] for x in g) for g in components.values()] for r in after)
+        elif name == "decontamination":
+            assert after == sorted((r for r in before if leak not in (r[1] or "")), key=str) and len(after) == len(before) - 1
+    packed = p.run(spark, f"{tmp_path}/some").collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(d for d, _ in after) and any(r.doc_id == 9000 for r in packed)
