@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Entries of a worker's word cache. The cache is only for speed: it is emptied when full.
 CACHE_WORDS = 400_000
+#: Edges up to which the driver joins up components itself.
+DRIVER_EDGES = 200_000
 #: Bytes of an Arrow batch that goes to or comes from a worker.
 BATCH_BYTES = 4 << 20
 #: Delimiters of the word rule [^\x20\x09-\x0D]+; bytes.split() cuts at exactly these.
@@ -38,12 +42,34 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Returns a worker's unused memory to the system: workers stay for other tasks, and what one operator needed isn't there for the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def giving_back(f):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def in_arrow(df: DataFrame, f, shape) -> DataFrame:
-    """df.mapInArrow, with Arrow batches of bounded bytes unless the session says otherwise: by default a batch is 10,000 rows, however long their texts are."""
+    """df.mapInArrow, with Arrow batches of bounded bytes unless the session says otherwise (by default a batch is 10,000 rows, however long their texts are), and
+    with workers that give their memory back at the end of a task.
+    """
     spark = df.sparkSession
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, shape)
+    return df.mapInArrow(giving_back(f), shape)
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -161,7 +187,7 @@ def column_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np
     return np.concatenate(found), np.concatenate(ends)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose column holds about most_bytes at most, one row at least: memory stays bounded with very long texts."""
     for b in batches:
         if not b.num_rows:
@@ -192,7 +218,7 @@ def with_group(rows: DataFrame, keys: list[str], first: list, final: list, by: s
     return salted.join(back, [*keys, "__salt"]).drop("__salt")
 
 
-def components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def components(edges: DataFrame, limit: int = DRIVER_EDGES) -> DataFrame:
     """(node, comp) for each node of edges (a, b): comp is the smallest node reachable. edges must be staged.
 
     Up to limit edges the driver joins them up; beyond it, stars are contracted in turns (large stars, small stars) until no edge changes.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import in_arrow, slices, staged
 from .tokens import default_path, tokenizer
 
 MAX_LEN = 4096
@@ -39,7 +39,8 @@ def pieces_of(path: str, max_len: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).text
+        words = tokenizer(path)
+        encode = words.text
         for b in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -52,6 +53,7 @@ def pieces_of(path: str, max_len: int, end_id: int):
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             yield pa.record_batch([b.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.forget()
 
     return run
 
@@ -121,7 +123,7 @@ def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, int,
 def token_pieces(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32; written and read back."""
     schema = PIECES.format(id=docs.schema["doc_id"].dataType.simpleString())
-    return staged(docs.select("doc_id", "text").mapInArrow(pieces_of(path or default_path(), max_len, end_id), schema), "pieces")
+    return staged(in_arrow(docs.select("doc_id", "text"), pieces_of(path or default_path(), max_len, end_id), schema), "pieces")
 
 
 def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:

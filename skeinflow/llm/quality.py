@@ -75,7 +75,8 @@ def blocks(path: str):
     """An Arrow function (doc_id, text, lang, trust) -> blocks of documents, and counts of training pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = tokenizer(path).text, zstandard.ZstdCompressor(level=3)
+        words, pack = tokenizer(path), zstandard.ZstdCompressor(level=3)
+        encode = words.text
         part, made = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
         columns: list[list] = [[], [], [], []]
         ids: list[bytes] = []
@@ -106,6 +107,7 @@ def blocks(path: str):
                     made, size, ids, columns, every, learned = made + 1, 0, [], [[], [], [], []], Counts(), Counts()
         if ids:
             yield batch(id_type)
+        words.forget()
 
     return run
 

@@ -83,6 +83,11 @@ class WordTokens(dict):
             ids = self.pieces[run] = array("I", self.merge(codes[:-1] + bytes([codes[-1] + 128]))).tobytes()
         return ids
 
+    def forget(self) -> None:
+        """Empties what is remembered of words, at the end of a task."""
+        self.clear()
+        self.pieces.clear()
+
     def encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import new_path, raw, slices, staged, with_group
+from .common import in_arrow, new_path, raw, slices, staged, with_group
 
 MAGIC = 0x184D2A5D
 SAMPLE_ROWS = 2000
@@ -178,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_PAYLOAD,
     revisits = staged(known.where((F.col("n") > 1) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "refers_to", F.lit(True).alias("is_revisit")).distinct(), "revisits")
     full = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
     full = full.select("page_id", "url", "html", F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"), "refers_to")
-    return staged(full.mapInArrow(writer(folder, train(pages), archive_bytes), INDEX.format(id=kind)), "index")
+    return staged(in_arrow(full, writer(folder, train(pages), archive_bytes), INDEX.format(id=kind)), "index")
 
 
 def read_archives(index: DataFrame, folder: str, span: int = 8 << 20) -> DataFrame:
@@ -187,7 +187,7 @@ def read_archives(index: DataFrame, folder: str, span: int = 8 << 20) -> DataFra
     parts = index.withColumn("part", F.floor(F.col("offset") / span)).groupBy("archive", "part").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("r"))
     spans = parts.select("archive", F.col("r")[0]["offset"].alias("start"), F.transform("r", lambda x: x["length"]).alias("lengths"))
     name = kind.simpleString()
-    return spans.mapInArrow(reader(folder, to_arrow_type(kind)), f"page_id {name}, payload_bytes bigint, payload_digest string, record_type string, refers_to {name}")
+    return in_arrow(spans, reader(folder, to_arrow_type(kind)), f"page_id {name}, payload_bytes bigint, payload_digest string, record_type string, refers_to {name}")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
