@@ -445,6 +445,39 @@ def test_decontamination_in_blocks_of_items(spark, monkeypatch):
     assert got == sorted([*((100 + k, k) for k in range(8)), (100, 7), (100, 7)])
 
 
+def test_decontamination_fits_on_every_passage(spark, monkeypatch):
+    """The fit's product is that of all passages of all texts, long ones too, and of the items; not of some of them."""
+    rng = random.Random(14)
+    pick = lambda n: [f"w{int(rng.random() ** 2 * 900)}" for _ in range(n)]
+    items = [pick(n) for n in (20, 30, 90)]
+    texts = [pick(rng.randrange(200)) for _ in range(600)] + [pick(3000)]
+    block = 2 * decontaminate.BLOCK
+    parts = [w[k : k + block] for w in texts for k in range(0, len(w), block)]
+    seen: list = []
+    real = decontaminate.randomised_svd
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda rows, columns, rank: seen.append((rows, columns)) or real(rows, columns, rank))
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)] + [(None, None), (-1, "")]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id int, text string"))
+    got.count()
+    fit, columns = seen[0]
+    own = sorted({t.encode() for w in items for t in w})
+    number = dict(zip([f"w{k}" for k in range(900)], decontaminate.Terms(own).of([" ".join(f"w{k}" for k in range(900))])[0].tolist()))
+    count = Counter()
+    for w in parts:
+        count.update({number[t] for t in w})
+    q = np.random.default_rng(1).normal(size=(columns, 5)).astype(np.float32)
+    want = np.zeros(q.shape)
+    for words, times in [(w, min(1, 400 / len(parts))) for w in parts] + [(w, 16) for w in items]:
+        row = Counter(number[t] for t in words)
+        row = {t: n * np.log((1 + len(parts)) / (1 + count[t])) for t, n in row.items() if count[t] <= max(0.02 * len(parts), 3)}
+        norm = sum(x * x for x in row.values())
+        if norm:
+            along = sum(x * q[t] for t, x in row.items())
+            for t, x in row.items():
+                want[t] += times * x * along / norm
+    assert len(count) > 500 and np.abs(want).max() > 1 and np.allclose(fit.squared(q), want, rtol=1e-3, atol=1e-3)
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
