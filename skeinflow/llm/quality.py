@@ -34,6 +34,9 @@ from .common import in_arrow, new_path, slices, small_enough, staged
 from .tokens import default_path, tokenizer
 
 BLOCK_TOKENS = 8 << 20
+#: Ids are most of what is written: the window holds a whole block, so what occurs again in it is written once.
+PACKED = {"window_log": 24, "enable_ldm": True}
+PACK_LEVEL = 6
 #: Pairs held by a task before they are made distinct.
 PAIRS_AT_ONCE = 1 << 20
 START = 65_535
@@ -75,7 +78,7 @@ def blocks(path: str):
     """An Arrow function (doc_id, text, lang, trust) -> blocks of documents, and counts of training pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pack = tokenizer(path), zstandard.ZstdCompressor(level=3)
+        words, pack = tokenizer(path), zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(PACK_LEVEL, **PACKED))
         encode = words.text
         part, made = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
         columns: list[list] = [[], [], [], []]
