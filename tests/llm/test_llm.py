@@ -522,6 +522,23 @@ def test_oracles(spark, name):
     assert ok, said
 
 
+def test_pipeline_stage_fits_on_every_row(spark, tmp_path, monkeypatch):
+    """The pipeline's decontamination gives the fit all words of all rows that it gets."""
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(rng.randrange(1, 150))) for _ in range(1500)]
+    item = " ".join(rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(30))
+    docs = spark.createDataFrame([(k % 900, t, "en") for k, t in enumerate(texts)] + [(1, f"before {item} after", "en"), (2, None, "en")], "doc_id int, text string, lang string")
+    spark.createDataFrame([(1, item)], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda rows, columns, rank: seen.append(rows) or np.eye(columns, rank, dtype=np.float32))
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in left.where("text is not null").collect()) == sorted(texts)
+    words = sum(len(t.split()) for t in texts) + len(item.split()) + 2
+    assert seen[0].corpus.agg(F.sum(F.length("words"))).collect()[0][0] == 4 * words
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline as p
 
