@@ -1,6 +1,8 @@
 """Training-data operators: brute force on small tables, nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from skeinflow.llm import chat, decontaminate, exact, langid, near, packing, quality, queries, repeats, shards, warc
-from skeinflow.llm.common import components, new_path, staged, with_group
+from skeinflow.llm.common import components, new_path, staged, with_group, work_dir
 from skeinflow.llm.tokens import default_path, tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -497,6 +499,48 @@ def test_decontamination_fits_on_every_passage(spark, monkeypatch):
     assert len(count) > 500 and np.abs(want).max() > 1 and np.allclose(fit.squared(q), want, rtol=1e-3, atol=1e-3)
 
 
+def test_decontamination_fit_spares_the_driver(spark, monkeypatch):
+    """A pass's matrices come and go as files and not through the driver's JVM, no file stays, and the driver's Python holds few copies."""
+    rng = np.random.default_rng(17)
+    weight = rng.random(3000).astype(np.float32)
+    texts, item = [rng.integers(0, 3000, rng.integers(1, 200)).astype(np.int32) for _ in range(50)], np.array([5, 3, 5, 2999], np.int32)
+    fit = decontaminate.Fit(staged(spark.createDataFrame([(w.tobytes(),) for w in texts], "words binary"), "test"), 800, [item], weight)
+    q = rng.normal(size=(3000, 20)).astype(np.float32)
+    want = np.zeros(q.shape)
+    for w, times in [(w[k : k + 64], 0.5) for w in texts for k in range(0, len(w), 64)] + [(item, 16)]:
+        a = np.bincount(w, minlength=3000) * weight
+        want += times * np.outer(a, a @ q) / (a @ a)
+
+    def no(*_):
+        raise AssertionError("through the driver's JVM")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.sparkContext), "broadcast", no)
+        for name in ("collect", "toLocalIterator", "toArrow", "toPandas"):
+            m.setattr(type(fit.corpus), name, no)
+        got = fit.squared(q)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+    assert not [x for x in os.listdir(work_dir(spark).removeprefix("file:")) if x.startswith(("fit-", "sums-"))]
+
+    class Rows:
+        def squared(self, q):
+            return q[::-1].copy()
+
+        def inner(self, q):
+            return q.T @ q
+
+    tracemalloc.start()
+    try:
+        decontaminate.randomised_svd(Rows(), 40_000, 200)
+        assert tracemalloc.get_traced_memory()[1] < 4 * 40_000 * 216 * 4
+    finally:
+        tracemalloc.stop()
+    q = rng.normal(size=(9000, 30)).astype(np.float32)
+    q[:, 7] = q[:, 3]
+    own = decontaminate.orthonormal(q.copy())
+    assert np.allclose(own.T @ own, np.eye(30), atol=1e-5) and np.allclose(own @ (own.T @ q), q, atol=1e-4)
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
