@@ -541,6 +541,31 @@ def test_decontamination_fit_spares_the_driver(spark, monkeypatch):
     assert np.allclose(own.T @ own, np.eye(30), atol=1e-5) and np.allclose(own @ (own.T @ q), q, atol=1e-4)
 
 
+def test_decontamination_adds_terms_up_in_power_iterations_only(spark, monkeypatch):
+    """The last pass is (A q)^T (A q) of all passages, which needs no sums by term; sums of runs are right whatever their lengths."""
+    rng = np.random.default_rng(18)
+    weight = rng.random(2000).astype(np.float32)
+    texts, item = [rng.integers(0, 2000, rng.integers(1, 300)).astype(np.int32) for _ in range(40)], np.array([7, 8, 7], np.int32)
+    fit = decontaminate.Fit(staged(spark.createDataFrame([(w.tobytes(),) for w in texts], "words binary"), "test"), 800, [item], weight)
+    passes = []
+    for name in ("squared", "inner"):
+        real = getattr(decontaminate.Fit, name)
+        monkeypatch.setattr(decontaminate.Fit, name, lambda self, q, name=name, real=real: passes.append((name, q.copy(), real(self, q))) or passes[-1][2])
+    decontaminate.randomised_svd(fit, 2000, 20)
+    assert [x[0] for x in passes] == ["squared"] * decontaminate.POWER + ["inner"]
+    q, got = passes[-1][1:]
+    want = np.zeros(got.shape)
+    for w, times in [(w[k : k + 64], 0.5) for w in texts for k in range(0, len(w), 64)] + [(item, 16)]:
+        a = np.bincount(w, minlength=2000) * weight
+        want += times * np.outer(a @ q, a @ q) / (a @ a)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-4)
+    monkeypatch.setattr(decontaminate, "ADDED_AT_ONCE", 4 * 7 * 50)
+    vectors, n = rng.normal(size=(90, 7)).astype(np.float32), np.concatenate([rng.integers(1, 9, 300), [1, decontaminate.LONG, decontaminate.LONG + 1, 400]])
+    index, first = rng.integers(0, 90, n.sum()), np.cumsum(n) - n
+    some = rng.permutation(len(n))
+    assert np.allclose(decontaminate.sums_of(vectors, index, first[some], n[some]), [vectors[index[first[k] : first[k] + n[k]]].sum(axis=0) for k in some], atol=1e-4)
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
