@@ -80,6 +80,12 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
+    """The driver's rows of whole numbers, by way of Arrow: from lists or pandas, Spark starts a daemon and Python workers of another kind on every executor, which stay."""
+    columns = zip(*rows) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({k: pa.array(x, pa.int64()) for k, x in zip(names, columns)}), ", ".join(f"{k} bigint" for k in names))
+
+
 def key_of(*columns: str) -> list[Column]:
     """k1, k2: a 128-bit key of columns, by two hashes with different seeds."""
     return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).alias("k2")]
@@ -239,9 +245,7 @@ def components(edges: DataFrame, limit: int = DRIVER_EDGES) -> DataFrame:
             parent[y] = x
         found = [(x, root(x)) for x in parent]
         at = new_path(spark, "components")
-        import pandas as pd
-
-        spark.createDataFrame(pd.DataFrame({"node": [x for x, _ in found], "comp": [y for _, y in found]}, dtype="int64"), "node bigint, comp bigint").write.parquet(at)
+        local_rows(spark, found, ["node", "comp"]).write.parquet(at)
         return spark.read.schema("node bigint, comp bigint").parquet(at)
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     nodes = staged(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_hashes, components, in_arrow, keep_keys, keep_or_drop, key_of, mix, slices, small_enough, staged, with_group
+from .common import column_hashes, components, in_arrow, keep_keys, keep_or_drop, key_of, local_rows, mix, slices, small_enough, staged, with_group
 
 COORDINATES = 128
 MATCHES = 70
@@ -169,7 +169,7 @@ def size_class(size: str):
 def merge(post: DataFrame, info: DataFrame) -> DataFrame:
     """(a, b): links that join up the components, found in rounds. post: (key, node, size)."""
     spark = post.sparkSession
-    edges = spark.createDataFrame([], "a bigint, b bigint")
+    edges = local_rows(spark, [], ["a", "b"])
     now = post.withColumn("comp", F.col("node"))
     for k in range(ROUNDS + 1):
         groups = with_group(now, ["key"], [F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h") if k else F.col("node").alias("h"), "node", "size", "comp")).alias("m")],

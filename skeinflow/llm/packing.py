@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, slices, staged
+from .common import in_arrow, local_rows, slices, staged
 from .tokens import default_path, tokenizer
 
 MAX_LEN = 4096
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN, end_i
     sizes = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     local = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
     ranked = local.join(sizes, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("skip"))
-    steps = spark.createDataFrame(plan(by_length, max_len), "length bigint, first bigint, times bigint, base bigint, offset bigint")
+    steps = local_rows(spark, plan(by_length, max_len), ["length", "first", "times", "base", "offset"])
     at = F.broadcast(steps.withColumnRenamed("length", "len"))  # bounded by max_len, not by the data
     out = ranked.join(at, (F.col("length") == F.col("len")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("times")))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from skeinflow.llm import chat, decontaminate, exact, langid, near, packing, quality, queries, repeats, shards, warc
-from skeinflow.llm.common import components, new_path, staged, with_group, work_dir
+from skeinflow.llm.common import components, local_rows, new_path, staged, with_group, work_dir
 from skeinflow.llm.tokens import default_path, tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -541,6 +541,69 @@ def test_decontamination_fit_spares_the_driver(spark, monkeypatch):
     assert np.allclose(own.T @ own, np.eye(30), atol=1e-5) and np.allclose(own @ (own.T @ q), q, atol=1e-4)
 
 
+def test_decontamination_fit_spares_the_workers(tmp_path, monkeypatch):
+    """A task of the fit holds its sums once, in single precision, and no copy of the matrix; what it sends on before its end is part of the whole."""
+    rng = np.random.default_rng(19)
+    weight, q = rng.random(20_000).astype(np.float32), rng.normal(size=(20_000, 100)).astype(np.float32)
+    (q * weight[:, None]).astype(np.float32).tofile(tmp_path / "q")
+    texts = rng.integers(0, 20_000, (2000, 64)).astype(np.int32)
+    batches = [pa.record_batch([pa.array([w.tobytes() for w in texts[k : k + 500]], pa.binary())], ["words"]) for k in range(0, 2000, 500)]
+    held = pa.total_allocated_bytes()
+    turned = decontaminate.read_matrix(f"file://{tmp_path}/q", 100)
+    assert turned.shape == q.shape and pa.total_allocated_bytes() - held < q.nbytes / 4
+    tracemalloc.start()
+    try:
+        for _ in decontaminate.gram(f"file://{tmp_path}/q", 100, weight)(iter(batches)):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 2.5 * q.nbytes
+    finally:
+        tracemalloc.stop()
+    want = np.zeros(q.shape)
+    for w in texts:
+        t, n = np.unique(w, return_counts=True)
+        a = n * weight[t].astype(float)
+        want[t] += np.outer(a, a @ q[t]) / (a @ a)
+    for often in (1, 3, 1000):
+        monkeypatch.setattr(decontaminate, "ADDED", often)
+        sums = np.zeros(q.shape)
+        sent = list(decontaminate.gram(f"file://{tmp_path}/q", 100, weight)(iter(batches)))
+        for b in sent:
+            for part, x in zip(b.column("part").to_pylist(), b.column("sums").to_pylist()):
+                sums[part : part + decontaminate.PART] += np.frombuffer(x, np.float32).reshape(-1, 100)
+        assert np.allclose(sums, want, rtol=1e-3, atol=1e-3) and sum(b.num_rows for b in sent) == (1 + 4 // often) * -(-20_000 // decontaminate.PART)
+
+
+def test_decontamination_search_spares_the_workers(spark, monkeypatch):
+    """What goes to the search's workers has no vectors: they are in a file; and few words are searched at once, with the same leaks."""
+    rng = random.Random(20)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(30)] for _ in range(12)]
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150))] + (items[k % 12] if k % 5 == 0 else []) for k in range(200)]
+    docs, bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id int, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id int, text string")
+    sent: list = []
+    real = decontaminate.searcher
+    monkeypatch.setattr(decontaminate, "searcher", lambda items, *rest: sent.append(items) or real(items, *rest))
+    found = []
+    for most in (4, 4000, 1 << 22):
+        monkeypatch.setattr(decontaminate, "SEARCHED", most)
+        found.append(sorted(map(tuple, decontaminate.find_leaks(docs, bench).select("doc_id", "item_id", F.round("cosine", 4), "common", "answer").collect())))
+    assert found[0] == found[1] == found[2] and {x[:2] for x in found[0]} == {(k, k % 12) for k in range(0, 200, 5)}
+    assert all(x.vectors is None for x in sent) and all(x.at[1] == (int(x.active.sum()), decontaminate.RANK) for x in sent)
+
+
+def test_driver_rows_start_no_workers(spark, docs, monkeypatch):
+    """The driver's rows come by Arrow, also when there are none; by parallelize() every executor would start Python workers of another kind."""
+    edges = staged(spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a bigint, b bigint"), "edges")
+
+    def no(*_, **__):
+        raise AssertionError("by parallelize()")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", no)
+    for rows in ([], [(1, 2), (-3, 1 << 62)]):
+        assert [tuple(r) for r in local_rows(spark, rows, ["a", "b"]).collect()] == rows
+    assert sorted(map(tuple, components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert near.drop_near(docs).count() and packing.pack(docs.where("doc_id >= 0")).count()
+
+
 def test_decontamination_adds_terms_up_in_power_iterations_only(spark, monkeypatch):
     """The last pass is (A q)^T (A q) of all passages, which needs no sums by term; sums of runs are right whatever their lengths."""
     rng = np.random.default_rng(18)
