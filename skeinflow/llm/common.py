@@ -127,38 +127,31 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_SOLID = np.ones(256, bool)
-_SOLID[[9, 10, 11, 12, 13, 32]] = False
 _BYTES = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
-#: Bytes of text that are hashed at once: the arrays for them stay in a core's cache.
+#: Bytes of text that are hashed at once: the arrays for them stay in a core's cache. A longer word is hashed alone.
 HASHED_AT_ONCE = 1 << 19
+SUMMED_AT_ONCE = 1 << 15
 
 
-class Places:
-    """Powers of an odd number, as far as needed."""
+def powers(odd: int, n: int) -> np.ndarray:
+    steps = np.full(n, odd, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
-    def __init__(self):
-        self.up = np.ones(1, np.uint64)
 
-    def to(self, n: int) -> np.ndarray:
-        if len(self.up) < n:
-            steps = np.full(max(n, 1 << 10), 0x9E3779B97F4A7C15, np.uint64)
-            steps[0] = 1
-            self.up = np.cumprod(steps, dtype=np.uint64)
-        return self.up
-
-
-_PLACES = Places()
+_STEP = 0x9E3779B97F4A7C15
+_UP, _DOWN = powers(_STEP, SUMMED_AT_ONCE), powers(pow(_STEP, -1, 1 << 64), SUMMED_AT_ONCE)
 
 
 def hashed(a: np.ndarray, breaks: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of bytes a (runs outside SPACES, and none across breaks), and the words' first bytes.
 
-    A word's hash is the mixed sum of random numbers for its bytes times powers for their places, so numpy does all words at once.
+    A word's hash is the mixed sum of random numbers for its bytes times powers for their places, so numpy does all words at once: it is a difference of
+    two running sums, in which places count from anywhere, times the inverse power of the word's first place.
     """
-    solid = _SOLID[a]
+    solid = ((a - np.uint8(9)) > 4) & (a != 32)
     start, stop = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     stop[:-1] &= ~solid[1:]
@@ -168,12 +161,20 @@ def hashed(a: np.ndarray, breaks: np.ndarray, lower: bool = False) -> tuple[np.n
     lo = np.flatnonzero(start)
     if not len(lo):
         return np.empty(0, np.uint64), lo
-    n = np.flatnonzero(stop) + 1 - lo
-    first = np.cumsum(n) - n
-    place = np.arange(n.sum()) - np.repeat(first, n)
-    with np.errstate(over="ignore"):
-        values = (_LOWER if lower else _BYTES)[a[solid]] * _PLACES.to(int(n.max()))[place]
-        return mix(np.add.reduceat(values, first) + n.astype(np.uint64)), lo
+    hi, table = np.flatnonzero(stop) + 1, _LOWER if lower else _BYTES
+    out, sums = np.empty(len(lo), np.uint64), np.zeros(SUMMED_AT_ONCE + 1, np.uint64)
+    k = 0
+    while k < len(lo):
+        at, upto = lo[k], int(np.searchsorted(hi, lo[k] + SUMMED_AT_ONCE, "right"))
+        if upto > k:
+            own, size = slice(k, upto), hi[upto - 1] - at
+            np.cumsum(table[a[at : at + size]] * _UP[:size], out=sums[1 : size + 1])
+            out[own] = (sums[hi[own] - at] - sums[lo[own] - at]) * _DOWN[lo[own] - at]
+        else:
+            upto = k + 1
+            out[k] = np.sum(table[a[at : hi[k]]] * powers(_STEP, hi[k] - at))
+        k = upto
+    return mix(out + (hi - lo).astype(np.uint64)), lo
 
 
 def column_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

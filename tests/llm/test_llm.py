@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from skeinflow.llm import chat, decontaminate, exact, langid, near, packing, quality, queries, repeats, shards, warc
+from skeinflow.llm import chat, common, decontaminate, exact, langid, near, packing, quality, queries, repeats, shards, warc
 from skeinflow.llm.common import components, local_rows, new_path, staged, with_group, work_dir
 from skeinflow.llm.tokens import default_path, tokenizer
 
@@ -629,6 +630,43 @@ def test_decontamination_adds_terms_up_in_power_iterations_only(spark, monkeypat
     assert np.allclose(decontaminate.sums_of(vectors, index, first[some], n[some]), [vectors[index[first[k] : first[k] + n[k]]].sum(axis=0) for k in some], atol=1e-4)
 
 
+def test_word_hashes(monkeypatch):
+    """Hashes are those of a sum over each word's bytes, whatever is hashed at once; taking them as differences of running sums is faster than adding up each word."""
+    up = common.powers(common._STEP, 70_000)
+
+    def one_by_one(a, lo, hi):
+        n = hi - lo
+        solid = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        values = common._BYTES[a[solid]] * up[solid - np.repeat(lo, n)]
+        return common.mix(np.add.reduceat(values, np.cumsum(n) - n) + n.astype(np.uint64))
+
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(" \t\n\x0bab9Z\x1cé中") for _ in range(rng.choice([0, 1, 9, 200]))) for _ in range(200)] + [None, "x" * 40_000 + " y", "z" * 70_000, "z"]
+    words = [[w for w in (t or "").encode().split()] for t in texts]
+    whole = np.frombuffer(b"".join(w for row in words for w in row), np.uint8)
+    n = np.array([len(w) for row in words for w in row])
+    want = one_by_one(whole, np.cumsum(n) - n, np.cumsum(n))
+    for size in (5, 64, 1 << 15):
+        with monkeypatch.context() as m:
+            m.setattr(common, "SUMMED_AT_ONCE", size)
+            got, first = common.column_hashes(pa.array(texts))
+            assert np.array_equal(got, want) and np.diff(first).tolist() == [len(row) for row in words]
+    a = np.frombuffer(" ".join(prose(rng, 60_000).split()).encode(), np.uint8)
+    hi = np.append(np.flatnonzero(a == 32), len(a))
+    lo = np.append(0, hi[:-1] + 1)
+    assert np.array_equal(common.hashed(a, np.zeros(0, np.int64))[0], one_by_one(a, lo, hi))
+
+    def seconds(f):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: common.hashed(a, np.zeros(0, np.int64))) < 0.8 * seconds(lambda: one_by_one(a, lo, hi))
+
+
 def test_lcs():
     rng = random.Random(7)
     for _ in range(50):
