@@ -69,3 +69,16 @@ def tables_dialect():
     from skeinflow.functions.dialect import SPARK
 
     return SPARK
+
+
+def test_hidden_terms_go_to_their_conversation_once(spark, folder):
+    """Facts, their words, their numbers, and turns; before, each join and count was a move."""
+    PLANS["st_index_terms"].sql(tables_dialect())
+    n, plan = moves(spark, folder, tables.SHARED["skeinflow_s_hidden"])
+    assert n <= 4, plan
+
+
+def test_a_search_counts_only_words_that_a_query_has(spark, folder):
+    PLANS["q_pack"].sql(tables_dialect())
+    assert "postings" not in tables.SHARED["skeinflow_s_scored"]
+    assert "postings p JOIN" not in PLANS["ev_needed"].sql(tables_dialect()) + PLANS["st_evict"].sql(tables_dialect())
