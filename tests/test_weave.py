@@ -109,3 +109,8 @@ def test_the_nearest_of_each_word():
     both = rows + [(b, a, s) for a, b, s in rows]
     want = [(w, o, s, k + 1) for w in range(40) for k, (s, o) in enumerate(sorted(((s, o) for x, o, s in both if x == w), reverse=True)[:12])]
     assert got == want
+
+
+def test_facts_and_words_make_no_rows_of_their_own():
+    """br_weave: a fact looks through its conversation's list of words."""
+    assert "JOIN wanted" not in PLANS["br_weave"].sql(SPARK) and "filter(others" in PLANS["br_weave"].sql(SPARK)
